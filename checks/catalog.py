@@ -27,7 +27,7 @@ from shelflight.operators.pareto import running_share
 from shelflight.schema import type_names
 from shelflight.session import shared_folder, tune
 from shelflight.sources.inventory_view import AS_OF, inventory_lines
-from shelflight.sources.publish import product_view, published_tables
+from shelflight.sources.publish import conform_table, product_view, published_tables
 from shelflight.sources.readers import read_csv, read_summary
 from shelflight.sources.writers import write_csv, write_summary
 
@@ -79,9 +79,9 @@ class Stages:
     def advice(self) -> DataFrame:
         return rc.recommend(self.guessed)
 
-    @functools.cached_property
-    def published(self) -> dict[str, DataFrame]:
-        return published_tables(self.engineered, self.guessed, self.advice, LOADED_AT)
+    def published(self, table: str) -> DataFrame:
+        sources = {"inventory": "engineered", "predictions": "guessed", "revenue": "guessed", "recommendations": "advice"}
+        return conform_table(getattr(self, sources[table]), table, LOADED_AT)
 
     def scratch(self, name: str) -> str:
         return f"{shared_folder(self.spark).rstrip('/')}/shelflight-{name}-{uuid.uuid4().hex[:12]}"
@@ -704,7 +704,7 @@ register(
 
 register(
     "published_inventory",
-    lambda s: s.published["inventory"],
+    lambda s: s.published("inventory"),
     """SELECT "Product_ID", "Product_Name", "Category", "Brand", "Supplier", "Cost_Price", "Selling_Price",
       "Stock_Quantity", "Min_Stock_Level", CAST(trunc("Max_Stock_Level") AS BIGINT) AS "Max_Stock_Level",
       CAST("Sales_Velocity" AS DOUBLE) AS "Sales_Velocity", "Past_Sales_Volume", CAST(NULL AS VARCHAR) AS "Date_Added",
@@ -717,26 +717,26 @@ register(
 )
 register(
     "published_predictions",
-    lambda s: s.published["predictions"],
+    lambda s: s.published("predictions"),
     """SELECT "Product_ID", "Predicted_Expiry_Risk", "Predicted_Sales_Velocity", "Predicted_Revenue",
       "Predicted_Cluster", "Predicted_Revenue_at_Risk", "Predicted_Inventory_Health", '2001-12-01' AS "Prediction_Date"
     FROM scored""",
 )
 register(
     "published_revenue",
-    lambda s: s.published["revenue"],
+    lambda s: s.published("revenue"),
     """SELECT "Product_ID", "Revenue" AS "Historical_Revenue", "Predicted_Revenue", '2001-12-01' AS "Report_Date"
     FROM scored""",
 )
 register(
     "published_recommendations",
-    lambda s: s.published["recommendations"],
+    lambda s: s.published("recommendations"),
     """SELECT "Product_ID", "Recommendation_Type", "Action", "Expected_Revenue_Recovery", "Business_Reason",
       "Priority_Level", '2001-12-01' AS "Created_At" FROM advice""",
 )
 register(
     "published_by_product",
-    lambda s: product_view(s.published),
+    lambda s: product_view(published_tables(s.valued, s.guessed, s.advice, LOADED_AT)),
     f"""SELECT * REPLACE (coalesce(recommendations, 0) AS recommendations, coalesce(expected_recovery, 0) AS expected_recovery)
     FROM (SELECT "Product_ID", count(*) AS inventory_lines, {total('"Inventory_Value"')} AS inventory_value
       FROM engineered GROUP BY 1)

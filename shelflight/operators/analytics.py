@@ -7,8 +7,10 @@ reaches the shuffle as one row per task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,39 +176,67 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c, kind in df.dtypes if kind in kinds and c not in FLAG_COLUMNS]
 
 
+_MOMENTS = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
+
+
+def _pair_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Count, means and centred moments of every column pair, one row per pair and batch."""
+    for batch in batches:
+        values = batch.to_numpy(dtype=float, na_value=np.nan)
+        present = np.isfinite(values)
+        counts = present.sum(axis=0)
+        shift = np.where(present, values, 0.0).sum(axis=0) / np.maximum(counts, 1)
+        centred = np.where(present, values - shift, 0.0)
+        mask = present.astype(float)
+        n, sums, squares, products = mask.T @ mask, centred.T @ mask, (centred**2).T @ mask, centred.T @ centred
+        i, j = np.triu_indices(values.shape[1])
+        n_ij, sx, sy = n[i, j], sums[i, j], sums[j, i]
+        size = np.maximum(n_ij, 1.0)
+        moments = pd.DataFrame(
+            {
+                "i": i, "j": j, "n": n_ij, "x": shift[i] + sx / size, "y": shift[j] + sy / size,
+                "xx": squares[i, j] - sx * sx / size, "yy": squares[j, i] - sy * sy / size,
+                "xy": products[i, j] - sx * sy / size,
+            }
+        )
+        yield moments[moments["n"] > 0]
+
+
 def correlations(df: DataFrame, columns: Sequence[str] | None = None, digits: int | None = None) -> DataFrame:
     """Pearson matrix in long form (a, b, corr), pairwise complete, in one pass.
 
-    A constant column has no correlation: null, where a plain `corr` would raise
-    a division error in ANSI mode. Columns that cannot be null, which the schema
-    tells, share one variance over all pairs.
+    All pairs come from a few matrix products per Arrow batch, where one aggregate
+    per pair would make a plan of hundreds of them. A batch leaves one row per
+    pair, which merge on the map side. A constant column has no correlation: null.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
-    values = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in names])
-    nullable = {f.name: f.nullable for f in values.schema.fields}
-
-    def column(name: str) -> Column:
-        return F.col(f"`{name}`")
-
-    def deviation(name: str, other: str) -> Column:
-        if nullable[other] and other != name:
-            return F.stddev_pop(F.when(column(other).isNotNull(), column(name)))
-        return F.stddev_pop(column(name))
-
-    measures, pairs = [], []
-    for i, a in enumerate(names):
-        for b in names[i:]:
-            scale = deviation(a, b) * deviation(b, a)
-            corr = F.try_divide(F.covar_pop(column(a), column(b)), scale)
-            measures.append(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), corr)).alias(f"m{len(measures)}"))
-            pairs.append((a, b, f"m{len(measures) - 1}"))
-    row = values.agg(*measures)
-    entries = []
-    for a, b, measure in pairs:
-        value = F.col(measure) if digits is None else half_even(F.col(measure), digits)
-        for left, right in {(a, b), (b, a)}:
-            entries.append(F.struct(F.lit(left).alias("a"), F.lit(right).alias("b"), value.alias("corr")))
-    return row.select(F.inline(F.array(*entries)))
+    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(names)])
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    merged = (
+        values.mapInPandas(_pair_moments, _MOMENTS)
+        .groupBy("i", "j")
+        .agg(
+            F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"),
+            F.sum("xx").alias("xx"), F.sum("yy").alias("yy"), F.sum("xy").alias("xy"),
+            F.sum(n * x * x).alias("mxx"), F.sum(n * y * y).alias("myy"), F.sum(n * x * y).alias("mxy"),
+        )
+    )
+
+    def spread(within: str, between: str, mean: Column) -> Column:
+        total = F.col(within) + (F.col(between) - mean * mean / n)
+        # What rounding alone leaves of a constant column counts as no spread.
+        return F.when(total > F.col(between) * 1e-14, total)
+
+    covariance = F.col("xy") + (F.col("mxy") - x * y / n)
+    corr = covariance / F.sqrt(spread("xx", "mxx", x) * spread("yy", "myy", y))
+    corr = F.when(corr.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), corr)))
+    label = F.array(*[F.lit(c) for c in names])
+    a, b = label[F.col("i")], label[F.col("j")]
+    value = corr if digits is None else half_even(corr, digits)
+    one_way = F.struct(a.alias("a"), b.alias("b"), F.col("corr"))
+    other_way = F.struct(b.alias("a"), a.alias("b"), F.col("corr"))
+    both = F.when(F.col("i") == F.col("j"), F.array(one_way)).otherwise(F.array(one_way, other_way))
+    return merged.select("i", "j", value.alias("corr")).select(F.inline(both))
 
 
 # Executive view of an engineered table

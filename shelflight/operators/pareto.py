@@ -46,10 +46,6 @@ def _value_prefix(units: Column, digits: int) -> Column:
     return units - F.pmod(units, step)
 
 
-def _hash_of(key: Column) -> Column:
-    return F.md5(_key_text(key))
-
-
 def _key_text(key: Column) -> Column:
     return F.coalesce(key.cast("string"), F.lit(""))
 
@@ -92,12 +88,8 @@ def _boundaries(rows: DataFrame) -> DataFrame:
     weight = F.sum("s").cast(_WIDE).alias("s")
     limits = F.explode(F.array(*[F.lit(percent) for _, percent in CLASS_LIMITS]))
     total = F.sum("s").over(Window.partitionBy()).cast(_WIDE)
-    coarse = values.groupBy("coarse").agg(weight)
-    first = _narrow(
-        coarse.select("coarse", "s", total.alias("total"), limits.alias("limit"), F.lit(0).cast(_WIDE).alias("base")),
-        [F.col("coarse").desc()],
-        ["coarse"],
-    )
+    coarse = values.groupBy("coarse").agg(weight).withColumns({"total": total, "base": F.lit(0).cast(_WIDE)})
+    first = _narrow(coarse.select("*", limits.alias("limit")), [F.col("coarse").desc()], ["coarse"])
     inside = values.join(F.broadcast(first), "coarse")
     second = _narrow(
         inside.groupBy("limit", "total", "base", "fine").agg(weight), [F.col("fine").desc()], ["fine"]
@@ -105,7 +97,7 @@ def _boundaries(rows: DataFrame) -> DataFrame:
     inside = values.join(F.broadcast(second), "fine")
     third = _narrow(inside.select("limit", "total", "base", "u", "s"), [F.col("u").desc()], ["u"])
 
-    tied = rows.join(F.broadcast(third), "u").withColumn("h", _hash_of(F.col("k")))
+    tied = rows.join(F.broadcast(third), "u").withColumn("h", F.md5("k"))
     weight = F.sum(F.col("u").cast("decimal(20,0)")).cast(_WIDE).alias("s")
     grouping = ["limit", "total", "base", "u"]
     fourth = _narrow(
@@ -162,9 +154,11 @@ def running_share(df: DataFrame, value: str, key: str) -> DataFrame:
     first, because the sums and the rows both start from them. Runs a job.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    keyed = df.withColumns({"u": to_units(F.col(value)), "k": _key_text(F.col(key)), "h": _hash_of(F.col(key))})
-    keyed = keyed.withColumn("hp", F.left("h", F.lit(_HASH_DIGITS))).checkpoint()
-    values = _values(keyed.filter("u is not null")).withColumn("p", _value_prefix(F.col("u"), _MIDDLE))
+    name = _key_text(F.col(key))
+    keyed = df.withColumns({"_u": to_units(F.col(value)), "_k": name, "_h": F.md5(name)})
+    keyed = keyed.withColumn("_hp", F.left("_h", F.lit(_HASH_DIGITS))).checkpoint()
+    values = _values(keyed.filter("_u is not null").select(F.col("_u").alias("u")))
+    values = values.withColumn("p", _value_prefix(F.col("u"), _MIDDLE))
 
     earlier = (Window.unboundedPreceding, -1)
     zero = F.lit(0).cast(_WIDE)
@@ -172,29 +166,30 @@ def running_share(df: DataFrame, value: str, key: str) -> DataFrame:
     before_prefix = F.sum("s").over(Window.orderBy(F.col("p").desc()).rowsBetween(*earlier))
     total = F.sum("s").over(Window.partitionBy())
     prefixes = prefixes.select(
-        "p", F.coalesce(before_prefix, zero).cast(_WIDE).alias("before_prefix"), total.cast(_WIDE).alias("total")
+        "p", F.coalesce(before_prefix, zero).cast(_WIDE).alias("before_prefix"), total.cast(_WIDE).alias("_total")
     )
     before_value = F.sum("s").over(Window.partitionBy("p").orderBy(F.col("u").desc()).rowsBetween(*earlier))
     values = (
         values.withColumn("before_value", F.coalesce(before_value, zero).cast(_WIDE))
         .join(prefixes, "p")
-        .select("u", "total", (F.col("before_prefix") + F.col("before_value")).cast(_WIDE).alias("before"))
+        .select(
+            F.col("u").alias("_u"), "_total", (F.col("before_prefix") + F.col("before_value")).cast(_WIDE).alias("_before")
+        )
     )
-    before_hash = F.sum("n").over(Window.partitionBy("u").orderBy("hp").rowsBetween(*earlier))
+    before_hash = F.sum("n").over(Window.partitionBy("_u").orderBy("_hp").rowsBetween(*earlier))
     groups = (
-        keyed.groupBy("u", "hp")
+        keyed.groupBy("_u", "_hp")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("ties", F.coalesce(before_hash, F.lit(0)))
-        .join(values, "u")
-        .select("u", "hp", "ties", "before", "total")
+        .withColumn("_ties", F.coalesce(before_hash, F.lit(0)))
+        .join(values, "_u")
+        .select("_u", "_hp", "_ties", "_before", "_total")
     )
-    rank = F.row_number().over(Window.partitionBy("u", "hp").orderBy("h", "k"))
-    units = F.col("u").cast("decimal(20,0)")
-    running = (F.col("before") + (units * (F.col("ties") + rank)).cast(_WIDE)).cast(_WIDE)
+    rank = F.row_number().over(Window.partitionBy("_u", "_hp").orderBy("_h", "_k"))
+    through = F.col("_u").cast("decimal(20,0)") * (F.col("_ties") + rank)
     return (
-        keyed.join(groups, ["u", "hp"], "left")
-        .withColumn("running", running)
-        .withColumn("Running_Value", units_to_amount(F.col("running")))
-        .withColumn("Running_Share", F.try_divide(F.col("running").cast("double"), F.col("total").cast("double")))
-        .drop("u", "k", "h", "hp", "ties", "before", "total", "running")
+        keyed.join(groups, ["_u", "_hp"], "left")
+        .withColumn("_running", (F.col("_before") + through.cast(_WIDE)).cast(_WIDE))
+        .withColumn("Running_Value", units_to_amount(F.col("_running")))
+        .withColumn("Running_Share", F.try_divide(F.col("_running").cast("double"), F.col("_total").cast("double")))
+        .drop("_u", "_k", "_h", "_hp", "_ties", "_before", "_total", "_running")
     )

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    df.write.mode("overwrite").csv(
+        path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
