@@ -7,6 +7,7 @@ import functools
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,19 +87,21 @@ class Stages:
     def scratch(self, name: str) -> str:
         return f"{shared_folder(self.spark).rstrip('/')}/shelflight-{name}-{uuid.uuid4().hex[:12]}"
 
-    @functools.cached_property
-    def models(self) -> tr.Models:
-        return _models(self.spark.sparkContext.applicationId, self.data_dir, self)
+    def model(self, kind: str) -> PipelineModel:
+        """Fitted once per session and data folder, as a model store would hold it."""
+        place = (self.spark.sparkContext.applicationId, self.data_dir, kind)
+        if place not in _FITTED:
+            train = {"expiry": tr.train_expiry, "demand": tr.train_demand, "revenue": tr.train_revenue,
+                     "segment": tr.train_segments}[kind]
+            _FITTED[place] = train(self.engineered)
+        return _FITTED[place]
 
-
-_TRAINED: dict[tuple[str, str], tr.Models] = {}
+    @property
+    def models(self) -> tr.Models:
+        return tr.Models(*[self.model(kind) for kind in ("expiry", "demand", "revenue", "segment")])
 
 
-def _models(application: str, data_dir: str, stages: Stages) -> tr.Models:
-    """Models are fitted once per session and data folder, as a model store would hold them."""
-    if (application, data_dir) not in _TRAINED:
-        _TRAINED[application, data_dir] = tr.train_models(stages.engineered)
-    return _TRAINED[application, data_dir]
+_FITTED: dict[tuple[str, str, str], PipelineModel] = {}
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -873,11 +876,12 @@ register(
     FROM (SELECT count(*) AS n, CAST(floor(count(*) * 0.8) AS BIGINT) AS train FROM cleaned)
       CROSS JOIN (VALUES (true), (false)) AS sides(is_train)""",
 )
-register("expiry_model_report", lambda s: tr.evaluate_expiry(s.engineered, s.models.expiry))
-register("regression_model_metrics", lambda s: tr.evaluate_regressions(s.engineered, s.models))
+register("expiry_model_report", lambda s: tr.evaluate_expiry(s.engineered, s.model("expiry")))
+register("demand_model_metrics", lambda s: tr.evaluate_demand(s.engineered, s.model("demand")))
+register("revenue_model_metrics", lambda s: tr.evaluate_revenue(s.engineered, s.model("revenue")))
 register(
     "segment_sizes",
-    lambda s: an.cluster_sizes(s.models.segment.transform(tr.segment_inputs(tr.training_table(s.engineered)))),
+    lambda s: an.cluster_sizes(s.model("segment").transform(tr.segment_inputs(tr.training_table(s.engineered)))),
 )
 register("scored_by_models", lambda s: tr.score_by_models(s.cleaned, s.models, AS_OF))
 register(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -183,30 +185,63 @@ def fit_segments(df: DataFrame) -> PipelineModel:
     return PipelineModel(stages=[*prepare.stages, best])
 
 
-def train_models(df: DataFrame, key: str = LINE_KEY) -> Models:
-    """Fit all four models on an engineered table. Runs jobs.
+_LEARNED_FROM = sorted(
+    {*EXPIRY_CATEGORIES, *EXPIRY_NUMBERS, *DEMAND_CATEGORIES, *DEMAND_NUMBERS, *REVENUE_NUMBERS, "Revenue",
+     "Expiry_Risk"}
+)
+
 
-    The columns the models read are kept in executor memory, spilling to disk,
-    while the fits pass over them; a lost executor's share is computed again.
+@contextmanager
+def _kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep a table in executor memory, spilling to disk, while fits pass over it.
+
+    A lost executor's share is computed again.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    table = training_table(df)
-    used = {*EXPIRY_CATEGORIES, *EXPIRY_NUMBERS, *DEMAND_CATEGORIES, *DEMAND_NUMBERS, *REVENUE_NUMBERS,
-            "Revenue", "Expiry_Risk", key}
-    table = table.select(*sorted(used)).persist(StorageLevel.MEMORY_AND_DISK)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        by_risk = split(table, key, "Expiry_Risk").filter("is_train")
-        overall = split(table, key).filter("is_train").persist(StorageLevel.MEMORY_AND_DISK)
-        models = Models(
-            expiry=fit_expiry(by_risk),
-            demand=fit_demand(overall),
-            revenue=fit_revenue(overall),
-            segment=fit_segments(segment_inputs(table)),
-        )
-        overall.unpersist()
-        return models
+        yield df
     finally:
-        table.unpersist()
+        df.unpersist()
+
+
+def _learning_table(df: DataFrame, key: str) -> DataFrame:
+    """Only the columns the models read, of an engineered table."""
+    table = training_table(df)
+    require_columns(table, _LEARNED_FROM)
+    return table.select(*_LEARNED_FROM, key)
+
+
+def train_expiry(df: DataFrame, key: str = LINE_KEY) -> PipelineModel:
+    """Fit on 80 % of each risk class. Runs jobs, like all training functions."""
+    with _kept(_learning_table(df, key)) as table:
+        return fit_expiry(split(table, key, "Expiry_Risk").filter("is_train"))
+
+
+def train_demand(df: DataFrame, key: str = LINE_KEY) -> PipelineModel:
+    with _kept(_learning_table(df, key)) as table:
+        return fit_demand(split(table, key).filter("is_train"))
+
+
+def train_revenue(df: DataFrame, key: str = LINE_KEY) -> PipelineModel:
+    with _kept(_learning_table(df, key)) as table:
+        return fit_revenue(split(table, key).filter("is_train"))
+
+
+def train_segments(df: DataFrame, key: str = LINE_KEY) -> PipelineModel:
+    return fit_segments(segment_inputs(_learning_table(df, key)))
+
+
+def train_models(df: DataFrame, key: str = LINE_KEY) -> Models:
+    """Fit all four models on an engineered table, which is computed once for them."""
+    with _kept(_learning_table(df, key)) as table:
+        with _kept(split(table, key).filter("is_train")) as overall:
+            return Models(
+                expiry=fit_expiry(split(table, key, "Expiry_Risk").filter("is_train")),
+                demand=fit_demand(overall),
+                revenue=fit_revenue(overall),
+                segment=fit_segments(segment_inputs(table)),
+            )
 
 
 def evaluate_expiry(df: DataFrame, model: PipelineModel, key: str = LINE_KEY) -> DataFrame:
@@ -215,11 +250,14 @@ def evaluate_expiry(df: DataFrame, model: PipelineModel, key: str = LINE_KEY) ->
     return classification_report(model.transform(held_out), "Expiry_Risk", "Predicted_Expiry_Risk")
 
 
-def evaluate_regressions(df: DataFrame, models: Models, key: str = LINE_KEY) -> DataFrame:
+def evaluate_demand(df: DataFrame, model: PipelineModel, key: str = LINE_KEY) -> DataFrame:
+    held_out = split(training_table(df), key).filter("not is_train")
+    return regression_metrics(model.transform(held_out), "Sales_Velocity", "Predicted_Sales_Velocity")
+
+
+def evaluate_revenue(df: DataFrame, model: PipelineModel, key: str = LINE_KEY) -> DataFrame:
     held_out = split(training_table(df), key).filter("not is_train")
-    demand = regression_metrics(models.demand.transform(held_out), "Sales_Velocity", "Predicted_Sales_Velocity")
-    revenue = regression_metrics(models.revenue.transform(held_out), "Revenue", "Predicted_Revenue")
-    return demand.withColumn("model", F.lit("demand")).unionByName(revenue.withColumn("model", F.lit("revenue")))
+    return regression_metrics(model.transform(held_out), "Revenue", "Predicted_Revenue")
 
 
 def silhouette(df: DataFrame, model: PipelineModel) -> float:
