@@ -18,26 +18,35 @@ WHITESPACE = (
 
 _CASED = r"\p{IsUppercase}\p{IsLowercase}\p{IsTitlecase}"
 _RUNS = f"([{_CASED}]+|[^{_CASED}]+)"
-_LETTER_AFTER_MARK = f"[^{_CASED} ][{_CASED}]"
+# In lower-case text: a letter after a mark or digit, or anything beyond ASCII.
+_NEEDS_RUNS = r"[^a-z ][a-z]|[^\x00-\x7f]"
 
 
 def strip_whitespace(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITESPACE))
+    """Trim every kind of white space.
+
+    Blanks go first, which is cheap. The search through the whole set is left to
+    text that then still begins or ends with no printable ASCII character.
+    """
+    bare = F.trim(text)
+    first, last = F.left(bare, F.lit(1)), F.right(bare, F.lit(1))
+    odd = (first < "!") | (first > "~") | (last < "!") | (last > "~")
+    return F.when(odd, F.btrim(text, F.lit(WHITESPACE))).otherwise(bare)
 
 
 def title_case(text: Column) -> Column:
     """Capital after every character that is not a letter: `Levi'S`, `501Abc`.
 
     `initcap` capitalises after blanks only. It is right, and much cheaper, for
-    text in which no letter follows a mark or digit, so only the rest is split
-    into letter and non-letter runs.
+    ASCII text in which no letter follows a mark or digit, so only the rest is
+    split into letter and non-letter runs.
     """
     lowered = F.lower(text)
     runs = F.regexp_extract_all(lowered, F.lit(_RUNS), F.lit(1))
     by_runs = F.concat_ws(
         "", F.transform(runs, lambda run: F.concat(F.upper(F.left(run, F.lit(1))), F.substr(run, F.lit(2))))
     )
-    return F.when(lowered.rlike(_LETTER_AFTER_MARK), by_runs).otherwise(F.initcap(text))
+    return F.when(lowered.rlike(_NEEDS_RUNS), by_runs).otherwise(F.initcap(text))
 
 
 def normalize_identifier(text: Column) -> Column:

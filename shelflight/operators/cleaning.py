@@ -54,20 +54,26 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def fill_missing(df: DataFrame) -> DataFrame:
-    """Rows need an id, a name and a price; everything else gets a default."""
+def _fills(df: DataFrame) -> dict[str, Column]:
+    """Defaults and estimated prices, all from the columns as they come.
+
+    Where the selling price is missing the purchase price is not, so neither
+    estimate depends on the other one.
+    """
     names = type_names(df)
-    fills = {c: v for c, v in CATEGORY_FILLS.items() if names.get(c) == "string"}
-    zeros = [c for c in ZERO_FILLS if c in names]
     purchase, selling = F.col("Purchase_Price"), F.col("Selling_Price")
-    return (
-        df.dropna(how="any", subset=["Product_ID", "Product_Name"])
-        .dropna(how="all", subset=["Purchase_Price", "Selling_Price"])
-        .na.fill(fills)
-        .na.fill(0, subset=zeros)
-        .withColumn("Purchase_Price", F.coalesce(purchase, selling / MARKUP))
-        .withColumn("Selling_Price", F.coalesce(selling, purchase * MARKUP))
-    )
+    fills = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in CATEGORY_FILLS.items() if names.get(c) == "string"}
+    fills |= {c: F.coalesce(F.col(c), F.lit(0).cast(names[c])) for c in ZERO_FILLS if c in names}
+    fills["Purchase_Price"] = F.coalesce(purchase, selling / MARKUP)
+    fills["Selling_Price"] = F.coalesce(selling, purchase * MARKUP)
+    return fills
+
+
+def fill_missing(df: DataFrame) -> DataFrame:
+    """Rows need an id, a name and a price; everything else gets a default."""
+    kept = df.dropna(how="any", subset=["Product_ID", "Product_Name"])
+    kept = kept.dropna(how="all", subset=["Purchase_Price", "Selling_Price"])
+    return kept.withColumns(_fills(df))
 
 
 def _valid_values() -> Column:
@@ -155,10 +161,8 @@ def cleaning_audit(df: DataFrame) -> DataFrame:
     """
     raw = df.transform(numbers_from_text).transform(nulls_for_nan)
     distinct = raw.groupBy(*[F.col(f"`{c}`") for c in raw.columns]).agg(F.count(F.lit(1)).alias("_copies"))
-    purchase, selling = F.col("Purchase_Price"), F.col("Selling_Price")
     no_key = F.col("Product_ID").isNull() | F.col("Product_Name").isNull()
-    no_price = purchase.isNull() & selling.isNull()
-    zeros = [c for c in ZERO_FILLS if c in raw.columns]
+    no_price = F.col("Purchase_Price").isNull() & F.col("Selling_Price").isNull()
     reason = (
         F.when(F.col("_no_key"), "missing_key")
         .when(F.col("_no_price"), "missing_price")
@@ -168,10 +172,7 @@ def cleaning_audit(df: DataFrame) -> DataFrame:
         .otherwise("kept")
     )
     tagged = (
-        distinct.withColumns({"_no_key": no_key, "_no_price": no_price})
-        .na.fill(0, subset=zeros)
-        .withColumn("Purchase_Price", F.coalesce(purchase, selling / MARKUP))
-        .withColumn("Selling_Price", F.coalesce(selling, purchase * MARKUP))
+        distinct.withColumns({"_no_key": no_key, "_no_price": no_price, **_fills(raw)})
         .transform(_parsed_dates)
         .select(reason.alias("step"), "_copies")
     )
