@@ -883,6 +883,10 @@ register(
     "segment_sizes",
     lambda s: an.cluster_sizes(s.model("segment").transform(tr.segment_inputs(tr.training_table(s.engineered)))),
 )
+register(
+    "segment_silhouette",
+    lambda s: s.spark.createDataFrame([(tr.silhouette(s.engineered, s.model("segment")),)], "silhouette double"),
+)
 register("scored_by_models", lambda s: tr.score_by_models(s.cleaned, s.models, AS_OF))
 register(
     "recommendations_by_models", lambda s: rc.recommend(tr.score_by_models(s.cleaned, s.models, AS_OF))
