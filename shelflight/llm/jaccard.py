@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelflight.llm.shared import components, discard, ship, stored, text_or_empty
+from shelflight.llm.shared import Runs, components, discard, ship, stored, text_or_empty
 from shelflight.llm.shingles import shingle_numbers, shingle_sets, word_numbers
 from shelflight.llm.token_ids import slices
 
-SKETCH_BITS = 22  # occurrences of words are counted in so many buckets: 16 MB, whatever the input
+SKETCH_BITS = 20  # occurrences of words are counted in so many buckets: 4 MB, whatever the input
 VERIFY_COST = 50.0  # work to verify a candidate, as a multiple of the work to look at one more posting
 LONGEST = 4  # largest l
 SLICE = 8 << 20
@@ -53,9 +53,9 @@ def census(texts: DataFrame, size: int) -> DataFrame:
 
 def word_sketch(counted: DataFrame) -> np.ndarray:
     """Occurrences of words by bucket over all documents; of a fixed size, so it fits driver and executors."""
-    rows = counted.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = counted.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
-    sketch[rows["bucket"].to_numpy(dtype=np.int64)] = np.minimum(rows["n"].to_numpy(dtype=np.int64), np.iinfo(np.int32).max)
+    sketch[rows["bucket"].to_numpy()] = np.minimum(rows["n"].to_numpy(), np.iinfo(np.int32).max)
     return sketch
 
 
@@ -156,34 +156,6 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return ordered.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-class Runs:
-    """Rows of one key at a time from batches that are sorted by the key."""
-
-    def __init__(self, batches: Iterable[pa.RecordBatch], key: tuple[str, ...]) -> None:
-        self.batches, self.key = batches, key
-
-    def __iter__(self) -> Iterator[pa.Table]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in self.batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in self.key]
-            change = np.zeros(batch.num_rows, dtype=bool)
-            for column in columns:
-                change[1:] |= column[1:] != column[:-1]
-            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            for first, end in zip(cuts, cuts[1:], strict=False):
-                key = tuple(column[first] for column in columns)
-                if held and key != last:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(first, end - first))
-                last = key
-        if held:
-            yield pa.Table.from_batches(held)
-
-
 def incidence(rows: list[np.ndarray]) -> np.ndarray:
     """One row of 0 and 1 for each array, one column for each number in any of them."""
     sizes = [len(r) for r in rows]

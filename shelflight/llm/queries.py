@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.llm import digest_index, jaccard, mixing, packing, quality, warc
+from shelflight.llm import cover_tree, digest_index, jaccard, mixing, packing, quality, warc
 
 # Target weights of the mixture: the large source counts less than its share, the others follow their number.
 MIXTURE = {"src0": 4.0, **{f"src{i}": 2.0 if i < 5 else 1.0 for i in range(1, 20)}}
@@ -33,6 +33,10 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return digest_index.deduplicate(table(spark, folder, "documents"), digest_index.new_index(spark))
 
 
+def op7_cover_tree_links(spark: SparkSession, folder: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, folder, "embeddings"), least=0.95)
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -48,7 +52,7 @@ def op10_warc_bundles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op2_source_mixture, op4_exact_dedup, op8_packing, op9_jaccard_join, op10_warc_bundles]
+    found = [op1_quality_classifier, op2_source_mixture, op4_exact_dedup, op7_cover_tree_links, op8_packing, op9_jaccard_join, op10_warc_bundles]
     return {query.__name__: query for query in found}
 
 
@@ -99,6 +103,19 @@ def oracle_sql() -> dict[str, str]:
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
     doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+        "op7_cover_tree_links": f"""
+WITH RECURSIVE fit AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+pairs AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM fit x JOIN fit y ON x.vec_id < y.vec_id AND len(x.v) = len(y.v)
+    WHERE list_cosine_similarity(x.v, y.v) >= 0.95
+),
+{_REACHED},
+linked AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
+FROM embeddings LEFT JOIN linked ON a = vec_id LEFT JOIN groups ON id = vec_id""",
         "op9_jaccard_join": rf"""
 WITH RECURSIVE words AS (
     SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w

@@ -7,7 +7,10 @@ import pathlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,3 +117,30 @@ def _mark(edges: DataFrame) -> tuple:
     sums = [F.sum(F.xxhash64(F.lit(seed), "a", "b").cast("decimal(38,0)")) for seed in (1, 2)]
     return tuple(edges.agg(F.count("*"), *sums).first())
 
+
+class Runs:
+    """Rows of one key at a time from batches that are sorted by the key."""
+
+    def __init__(self, batches: Iterable[pa.RecordBatch], key: tuple[str, ...]) -> None:
+        self.batches, self.key = batches, key
+
+    def __iter__(self) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in self.batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in self.key]
+            change = np.zeros(batch.num_rows, dtype=bool)
+            for column in columns:
+                change[1:] |= column[1:] != column[:-1]
+            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            for first, end in zip(cuts, cuts[1:], strict=False):
+                key = tuple(column[first] for column in columns)
+                if held and key != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(first, end - first))
+                last = key
+        if held:
+            yield pa.Table.from_batches(held)
