@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.llm import cover_tree, digest_index, jaccard, mixing, packing, quality, warc
+from shelflight.llm import cover_tree, digest_index, jaccard, mixing, packing, pii, quality, warc
 
 # Target weights of the mixture: the large source counts less than its share, the others follow their number.
 MIXTURE = {"src0": 4.0, **{f"src{i}": 2.0 if i < 5 else 1.0 for i in range(1, 20)}}
@@ -33,6 +33,19 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return digest_index.deduplicate(table(spark, folder, "documents"), digest_index.new_index(spark))
 
 
+def op5_pii_tagger(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = pii.find_spans(docs, pii.train(docs))
+
+    def joined(spans: Column) -> Column:
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, kind=kind: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS]
+    added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("bigint").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), added)
+
+
 def op7_cover_tree_links(spark: SparkSession, folder: str) -> DataFrame:
     return cover_tree.near_duplicates(table(spark, folder, "embeddings"), least=0.95)
 
@@ -52,7 +65,7 @@ def op10_warc_bundles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op2_source_mixture, op4_exact_dedup, op7_cover_tree_links, op8_packing, op9_jaccard_join, op10_warc_bundles]
+    found = [op1_quality_classifier, op2_source_mixture, op4_exact_dedup, op5_pii_tagger, op7_cover_tree_links, op8_packing, op9_jaccard_join, op10_warc_bundles]
     return {query.__name__: query for query in found}
 
 
