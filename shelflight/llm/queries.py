@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.llm import cover_tree, digest_index, jaccard, mixing, packing, pii, quality, warc
+from shelflight.llm import chat, cover_tree, digest_index, jaccard, mixing, packing, pii, quality, token_counts, warc
 
 # Target weights of the mixture: the large source counts less than its share, the others follow their number.
 MIXTURE = {"src0": 4.0, **{f"src{i}": 2.0 if i < 5 else 1.0 for i in range(1, 20)}}
@@ -29,6 +29,10 @@ def op2_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents"), MIXTURE, MIXTURE_REST, seed=MIXTURE_SEED)
 
 
+def op3_chat_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.repair_chats(table(spark, folder, "conversations"))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return digest_index.deduplicate(table(spark, folder, "documents"), digest_index.new_index(spark))
 
@@ -46,6 +50,11 @@ def op5_pii_tagger(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), added)
 
 
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    scores = token_counts.piece_scores(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.count_tokens(table(spark, folder, "documents"), scores)
+
+
 def op7_cover_tree_links(spark: SparkSession, folder: str) -> DataFrame:
     return cover_tree.near_duplicates(table(spark, folder, "embeddings"), least=0.95)
 
@@ -65,7 +74,10 @@ def op10_warc_bundles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_classifier, op2_source_mixture, op4_exact_dedup, op5_pii_tagger, op7_cover_tree_links, op8_packing, op9_jaccard_join, op10_warc_bundles]
+    found = [
+        op1_quality_classifier, op2_source_mixture, op3_chat_repair, op4_exact_dedup, op5_pii_tagger, op6_token_counts,
+        op7_cover_tree_links, op8_packing, op9_jaccard_join, op10_warc_bundles,
+    ]
     return {query.__name__: query for query in found}
 
 
