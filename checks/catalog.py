@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.sql import mean, over_stages, rounded, total
-from shelflight.functions import normalize_identifier
+from shelflight.functions import normalize_identifier, parse_timestamp
 from shelflight.operators import analytics as an
 from shelflight.operators import cleaning as cl
 from shelflight.operators import features as fe
@@ -27,7 +27,7 @@ from shelflight.operators.metrics import classification_report, regression_metri
 from shelflight.operators.pareto import running_share
 from shelflight.schema import type_names
 from shelflight.session import shared_folder, tune
-from shelflight.sources.inventory_view import AS_OF, inventory_lines
+from checks.inventory_view import AS_OF, inventory_lines
 from shelflight.sources.publish import conform_table, product_view, published_tables
 from shelflight.sources.readers import read_csv, read_summary
 from shelflight.sources.writers import write_csv, write_summary
@@ -386,6 +386,65 @@ register(
     _corr_sql(_ENGINEERED_NUMBERS, 6, "healthy"),
 )
 
+
+
+def _large_means(s: Stages) -> DataFrame:
+    lines = s.spark.read.parquet(f"{s.data_dir}/lineitem.parquet")
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    return lines.select((day + 1.7e9).alias("seconds"), (F.col("l_extendedprice") / 1000 + 1e8).alias("price"),
+                        F.col("l_quantity").alias("quantity"), F.lit(3.5).alias("constant"))
+
+
+# Pearson from centred values, so that large means cost no digits here either.
+register(
+    "correlation_large_mean",
+    lambda s: an.correlations(_large_means(s), digits=6),
+    """WITH base AS (SELECT date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS d, l_extendedprice / 1000e0 AS p,
+      CAST(l_quantity AS DOUBLE) AS q FROM lineitem),
+    names(n) AS (VALUES ('seconds'), ('price'), ('quantity'), ('constant')),
+    r AS (SELECT corr(d, p) AS dp, corr(d, q) AS dq, corr(p, q) AS pq FROM base)
+    SELECT x.n AS a, y.n AS b, CASE WHEN x.n = 'constant' OR y.n = 'constant' THEN NULL WHEN x.n = y.n THEN 1e0 ELSE round_even(
+      CASE WHEN 'quantity' NOT IN (x.n, y.n) THEN dp WHEN 'price' NOT IN (x.n, y.n) THEN dq ELSE pq END, 6) END AS corr
+    FROM names x CROSS JOIN names y CROSS JOIN r""",
+)
+
+
+def _extreme(s: Stages) -> DataFrame:
+    lines = s.spark.read.parquet(f"{s.data_dir}/lineitem.parquet")
+    odd = F.when(F.col("l_orderkey") % 50 == 1, F.lit(float("nan"))).when(F.col("l_orderkey") % 50 == 2, F.lit(float("inf")))
+    odd = odd.when(F.col("l_orderkey") % 50 == 3, F.lit(1e15)).when(F.col("l_orderkey") % 50 == 4, F.lit(-1e15))
+    return lines.select(F.col("l_linenumber").alias("Category"), odd.otherwise(F.col("l_extendedprice")).alias("Revenue"))
+
+
+# NaN and infinity count as missing, amounts of 1e15 are summed exactly; compared in hundreds, below which a double of
+# this size has no digits.
+register(
+    "extreme_amounts",
+    lambda s: an.group_totals(_extreme(s), "Category", ["Revenue"]).withColumn("Revenue", F.rint(F.col("Revenue") / 100)),
+    """SELECT l_linenumber AS "Category", round_even(CAST(sum(CASE l_orderkey % 50 WHEN 1 THEN NULL WHEN 2 THEN NULL
+        WHEN 3 THEN CAST(10000000000000000000 AS HUGEINT) WHEN 4 THEN CAST(-10000000000000000000 AS HUGEINT)
+        ELSE CAST(round_even(l_extendedprice * 10000e0, 0) AS HUGEINT) END) AS DOUBLE) / 10000e0 / 100, 0) AS "Revenue"
+    FROM lineitem GROUP BY 1""",
+)
+
+
+def _spelled(s: Stages) -> DataFrame:
+    day = F.col("l_shipdate").cast("date")
+    styles = ["d MMM yyyy", "MMM d, yyyy", "dd/MM/yy", "yyyyMMdd", "d MMMM yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "yyyy-MM-dd", "'on a day'"]
+    text = F.lit(None).cast("string")
+    for k, style in enumerate(styles):
+        text = F.when(F.col("l_orderkey") % len(styles) == k, F.date_format(day, style)).otherwise(text)
+    lines = s.spark.read.parquet(f"{s.data_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", text.alias("text"))
+    return lines.select("l_orderkey", "l_linenumber", parse_timestamp(F.col("text"), "string", day_first=True).alias("day"))
+
+
+# Every date is read back from its spelling; text that is no date is null.
+register(
+    "date_spellings",
+    _spelled,
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 9 < 8 THEN strftime(l_shipdate, '%Y-%m-%d') END AS day FROM lineitem""",
+)
+
 # --- Interactive analyses ------------------------------------------------------------------
 
 _CHOSEN = {"Category": ["Economy", "Promo", "Small"], "Brand": ["Brand#2", "Brand#17", "Brand#4", "Brand#11"],
@@ -587,12 +646,22 @@ register(
 )
 register(
     "risk_crosstab",
-    lambda s: an.risk_crosstab(s.guessed, ["High", "Medium", "Low"]),
+    lambda s: an.risk_crosstab(s.guessed),
     """SELECT "Category", count(*) FILTER ("Predicted_Expiry_Risk" = 'High') AS "High",
       count(*) FILTER ("Predicted_Expiry_Risk" = 'Medium') AS "Medium",
-      count(*) FILTER ("Predicted_Expiry_Risk" = 'Low') AS "Low"
+      count(*) FILTER ("Predicted_Expiry_Risk" = 'Low') AS "Low",
+      count(*) FILTER ("Predicted_Expiry_Risk" NOT IN ('High', 'Medium', 'Low')) AS "Other"
     FROM scored GROUP BY "Category" ORDER BY count(*) DESC, "Category" LIMIT 12""",
 )
+_FOURTH_RISK = """CASE WHEN "Stock_Quantity" % 5 = 0 THEN 'No Risk' WHEN "Stock_Quantity" % 7 = 0 THEN NULL ELSE "Predicted_Expiry_Risk" END"""
+register(
+    "risk_crosstab_fourth_risk",
+    lambda s: an.risk_crosstab(s.guessed.withColumn("Predicted_Expiry_Risk", F.expr(_FOURTH_RISK.replace('"', "`"))), n=4),
+    f"""SELECT "Category", count(*) FILTER (risk = 'High') AS "High", count(*) FILTER (risk = 'Medium') AS "Medium",
+      count(*) FILTER (risk = 'Low') AS "Low", count(*) FILTER (risk = 'No Risk') AS "Other"
+    FROM (SELECT "Category", {_FOURTH_RISK} AS risk FROM scored) WHERE risk IS NOT NULL
+    GROUP BY "Category" ORDER BY count(*) DESC, "Category" LIMIT 4""",
+)
 register(
     "predicted_risk_distribution",
     lambda s: an.predicted_risk_distribution(s.guessed),
@@ -605,8 +674,25 @@ register(
       count(*) AS row_count FROM scored GROUP BY ALL""",
 )
 
+register(
+    "score_negative_total",
+    lambda s: sc.score_prep(s.cleaned.withColumn("Purchase_Price", -F.col("Purchase_Price")), AS_OF)
+    .select("Batch_No", "Inventory_Value", "ABC_Category"),
+    """SELECT "Batch_No", 0e0 - "Inventory_Value" AS "Inventory_Value", 'A' AS "ABC_Category" FROM margins""",
+)
+
 # --- Recommendations -----------------------------------------------------------------------
 
+
+def _scored_file(s: Stages) -> DataFrame:
+    """The scored table written as CSV and read back, as the next stage gets it."""
+    path = s.scratch("scored")
+    write_csv(plain(s.guessed), path)
+    return read_csv(s.spark, path)
+
+
+register("recommendations_from_file", lambda s: rc.recommend(_scored_file(s)), "SELECT * FROM advice")
+
 register("recommendations", lambda s: s.advice, "SELECT * FROM advice")
 register(
     "recommendations_from_cleaned",
@@ -691,6 +777,12 @@ register(
       || ',"Predicted_Revenue_at_Risk":' || "Predicted_Revenue_at_Risk" || '}' AS record
     FROM scored ORDER BY "Predicted_Revenue_at_Risk" DESC, "Product_ID", "Batch_No" LIMIT 30""",
 )
+register(
+    "priority_records_from_file",
+    lambda s: an.priority_records(_scored_file(s)),
+    _SQL["priority_records"],
+)
+register("impact_summary_from_file", lambda s: rc.impact_summary(_scored_file(s)), _SUMMARY_SQL)
 register(
     "recommendation_records",
     lambda s: an.recommendation_records(s.advice),
@@ -788,9 +880,9 @@ register("mapped_schema", lambda s: standardize(_foreign(s), AS_OF)[0].select(*_
 
 def _mapping_report(s: Stages) -> DataFrame:
     df, report = standardize(_foreign(s), AS_OF)
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in report.mappings])
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in report.matches])
     filled = F.array(*[F.struct(F.lit(c).alias("canonical_field"), F.col(f"`{c}`").alias("filled_rows"))
-                       for c in report.mappings])
+                       for c in report.matches])
     return report.to_frame(s.spark).join(F.broadcast(counts.select(F.inline(filled))), "canonical_field")
 
 
@@ -812,7 +904,7 @@ register(
 
 
 def _numbered(s: Stages) -> DataFrame:
-    """Suppliers have no column that maps to a product id: ids come from the input order."""
+    """Order lines have no column that maps to a product id: ids come from the input order."""
     source = s.spark.read.parquet(f"{s.data_dir}/lineitem.parquet").select(
         F.col("l_quantity").alias("Qty"), F.col("l_extendedprice").alias("MRP"), "l_tax"
     )

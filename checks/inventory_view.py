@@ -12,8 +12,6 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.session import spread
-
 AS_OF = dt.date(2001, 12, 1)
 
 _PRICE_AND_KEYS = {
@@ -97,7 +95,7 @@ def inventory_lines(spark: SparkSession, data_dir: str) -> DataFrame:
     )
     expiry = F.expr("cast(date_add(date'2001-12-01', cast(Days_Remaining as int)) as string)")
     lines = (
-        spread(table("lineitem"), "l_orderkey", "l_linenumber")
+        table("lineitem").repartition(spark.sparkContext.defaultParallelism, "l_orderkey", "l_linenumber")
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .withColumns({name: F.expr(rule) for name, rule in _PRICE_AND_KEYS.items()})

@@ -142,7 +142,7 @@ def pareto(source: str, value: str = '"Inventory_Value"', key: str = '"Batch_No"
     FROM (SELECT *, {units(value)} AS u FROM {source})"""
 
 
-_CLASS = """CASE WHEN grand = 0 THEN '{zero}' WHEN running * 100 <= grand * 80 THEN 'A'
+_CLASS = """CASE WHEN grand {worthless} THEN '{zero}' WHEN running * 100 <= grand * 80 THEN 'A'
     WHEN running * 100 <= grand * 95 THEN 'B' ELSE 'C' END"""
 
 FEATURE_SQL = f"""
@@ -167,7 +167,7 @@ healthy AS (
   FROM valued
 ),
 ranked AS ({pareto('healthy')}),
-engineered AS (SELECT * EXCLUDE (u, running, grand), {_CLASS.format(zero='C')} AS "ABC_Category" FROM ranked),
+engineered AS (SELECT * EXCLUDE (u, running, grand), {_CLASS.format(zero='C', worthless='= 0')} AS "ABC_Category" FROM ranked),
 analysis AS (
   SELECT *, "Current_Stock" * "Selling_Price" AS "Potential_Sales_Value",
     "Daily_Sales" * "Selling_Price" AS "Estimated_Daily_Revenue",
@@ -202,7 +202,7 @@ margins AS (
 ),
 score_ranked AS ({pareto('margins')}),
 prepared AS (
-  SELECT * EXCLUDE (u, running, grand), {_CLASS.format(zero='A')} AS "ABC_Category" FROM score_ranked
+  SELECT * EXCLUDE (u, running, grand), {_CLASS.format(zero='A', worthless='<= 0')} AS "ABC_Category" FROM score_ranked
 ),
 guessed AS (
   SELECT *, "Expiry_Risk" AS "Predicted_Expiry_Risk", CAST("Sales_Velocity" AS DOUBLE) AS "Predicted_Sales_Velocity",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # Amounts are summed as whole ten-thousandths so that totals do not depend on
 # the order in which tasks deliver their partial sums.
 UNITS_PER_ONE = 10_000
+UNITS = "decimal(26,0)"
 
 # Java accepts "12.5d" and "3f" as numbers; spreadsheets do not.
 _JAVA_SUFFIX = r"[0-9.][dDfF]\s*$"
@@ -83,13 +84,13 @@ def decimal_round(value: Column, digits: int) -> Column:
 
 
 def to_units(value: Column) -> Column:
-    """A double amount as a whole number of ten-thousandths."""
-    return F.rint(value * F.lit(float(UNITS_PER_ONE))).cast("bigint")
+    """A double amount as a whole number of ten-thousandths; NaN, infinity and 1e22 or more are missing."""
+    return F.rint(value * F.lit(float(UNITS_PER_ONE))).try_cast(UNITS)
 
 
 def sum_units(value: Column) -> Column:
-    """Sum of amounts in units, wide enough not to overflow on any row count."""
-    return F.sum(to_units(value).cast("decimal(20,0)"))
+    """Sum of amounts in units: 38 digits, for 10^12 rows of the largest amount."""
+    return F.sum(to_units(value).cast("decimal(28,0)"))
 
 
 def units_to_amount(units: Column) -> Column:
@@ -104,4 +105,4 @@ def exact_sum(value: Column) -> Column:
 def exact_mean(value: Column, digits: int = 6) -> Column:
     """Mean of the non-null values from the order-independent sum."""
     total = units_to_amount(sum_units(value))
-    return half_even(F.try_divide(total, F.count(value)), digits)
+    return half_even(F.try_divide(total, F.count(to_units(value))), digits)

@@ -7,11 +7,9 @@ reaches the shuffle as one row per task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelflight.functions import exact_mean, exact_sum, half_even, ratio_or_zero, to_number, year_month
@@ -32,9 +30,10 @@ FLAG_COLUMNS = ("Low_Stock_Flag", "Overstock_Flag", "Reorder_Flag")
 
 def total(df: DataFrame, name: str) -> Column:
     """Order-independent sum of a column, 0 for no rows."""
-    if type_names(df)[name] in _WHOLE:
+    kind = type_names(df)[name]
+    if kind in _WHOLE:
         return F.coalesce(F.sum(F.col(name).cast("bigint")), F.lit(0))
-    return exact_sum(F.col(name))
+    return exact_sum(to_number(F.col(name), kind))
 
 
 def group_totals(
@@ -143,14 +142,20 @@ def capital_at_risk(df: DataFrame) -> DataFrame:
 
 
 def days_histogram(df: DataFrame, bins: int = 40) -> DataFrame:
-    """Lines per equal-width bin of the remaining days and expiry risk."""
+    """Lines per equal-width bin of the remaining days and expiry risk.
+
+    The rows are read once: they are counted per value and risk, and the bins are drawn over that small table.
+    """
     days = F.col("Days_Remaining").cast("double")
-    bounds = df.agg(F.struct(F.min(days).alias("low"), F.max(days).alias("high"))).scalar()
-    low, width = bounds.getField("low"), (bounds.getField("high") - bounds.getField("low")) / bins
-    position = F.when(width > 0, F.floor((days - low) / width)).otherwise(F.lit(0))
-    binned = df.withColumn("bin", F.least(position, F.lit(bins - 1)).cast("int"))
-    binned = binned.withColumn("bin_start", half_even(low + F.col("bin") * width, 6))
-    return group_totals(binned, ["bin", "bin_start", "Expiry_Risk"], extra=[F.count(F.lit(1)).alias("row_count")])
+    counts = df.groupBy(days.alias("days"), "Expiry_Risk").agg(F.count(F.lit(1)).alias("n"))
+    everything = Window.partitionBy()  # over one row per value and risk
+    low, high = F.min("days").over(everything), F.max("days").over(everything)
+    counts = counts.withColumns({"low": low, "width": (high - low) / bins})
+    position = F.when(F.col("width") > 0, F.floor((F.col("days") - F.col("low")) / F.col("width"))).otherwise(F.lit(0))
+    binned = counts.withColumn("bin", F.least(position, F.lit(bins - 1)).cast("int"))
+    binned = binned.withColumn("bin_start", half_even(F.col("low") + F.col("bin") * F.col("width"), 6))
+    binned = binned.dropna(subset=["bin", "bin_start", "Expiry_Risk"])
+    return binned.groupBy("bin", "bin_start", "Expiry_Risk").agg(F.sum("n").alias("row_count"))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -176,67 +181,44 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c, kind in df.dtypes if kind in kinds and c not in FLAG_COLUMNS]
 
 
-_MOMENTS = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
-
-
-def _pair_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Count, means and centred moments of every column pair, one row per pair and batch."""
-    for batch in batches:
-        values = batch.to_numpy(dtype=float, na_value=np.nan)
-        present = np.isfinite(values)
-        counts = present.sum(axis=0)
-        shift = np.where(present, values, 0.0).sum(axis=0) / np.maximum(counts, 1)
-        centred = np.where(present, values - shift, 0.0)
-        mask = present.astype(float)
-        n, sums, squares, products = mask.T @ mask, centred.T @ mask, (centred**2).T @ mask, centred.T @ centred
-        i, j = np.triu_indices(values.shape[1])
-        n_ij, sx, sy = n[i, j], sums[i, j], sums[j, i]
-        size = np.maximum(n_ij, 1.0)
-        moments = pd.DataFrame(
-            {
-                "i": i, "j": j, "n": n_ij, "x": shift[i] + sx / size, "y": shift[j] + sy / size,
-                "xx": squares[i, j] - sx * sx / size, "yy": squares[j, i] - sy * sy / size,
-                "xy": products[i, j] - sx * sy / size,
-            }
-        )
-        yield moments[moments["n"] > 0]
-
-
 def correlations(df: DataFrame, columns: Sequence[str] | None = None, digits: int | None = None) -> DataFrame:
     """Pearson matrix in long form (a, b, corr), pairwise complete, in one pass.
 
-    All pairs come from a few matrix products per Arrow batch, where one aggregate
-    per pair would make a plan of hundreds of them. A batch leaves one row per
-    pair, which merge on the map side. A constant column has no correlation: null.
+    Each row becomes one small row per pair of columns, which merge on the map side: a shuffle moves one row per
+    pair and task. The moments are Spark's own, which are updated around the running means, so large means cost no
+    digits. NaN and infinity are missing. A constant column has no correlation: null.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
-    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(names)])
-    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    kinds = type_names(df)
+    infinite = F.lit(float("inf"))
+
+    def finite(name: str) -> Column:
+        value = F.col(f"`{name}`").cast("double")
+        return value if kinds[name] in _WHOLE else F.when(~F.isnan(value) & (F.abs(value) != infinite), value)
+
+    values = df.select(*[finite(c).alias(f"c{k}") for k, c in enumerate(names)])
+    pairs = [
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("y"))
+        for i in range(len(names)) for j in range(i, len(names))
+    ]
     merged = (
-        values.mapInPandas(_pair_moments, _MOMENTS)
+        values.select(F.inline(F.array(*pairs))).filter("x is not null and y is not null")
         .groupBy("i", "j")
-        .agg(
-            F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"),
-            F.sum("xx").alias("xx"), F.sum("yy").alias("yy"), F.sum("xy").alias("xy"),
-            F.sum(n * x * x).alias("mxx"), F.sum(n * y * y).alias("myy"), F.sum(n * x * y).alias("mxy"),
-        )
+        .agg(F.covar_pop("x", "y").alias("xy"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    )
+    corr = F.try_divide(F.col("xy"), F.col("sx") * F.col("sy"))
+    corr = F.when(F.col("i") == F.col("j"), F.when(F.col("sx") > 0, F.lit(1.0))).otherwise(
+        F.when(corr.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), corr)))
     )
-
-    def spread(within: str, between: str, mean: Column) -> Column:
-        total = F.col(within) + (F.col(between) - mean * mean / n)
-        # What rounding alone leaves of a constant column counts as no spread.
-        return F.when(total > F.col(between) * 1e-14, total)
-
-    covariance = F.col("xy") + (F.col("mxy") - x * y / n)
-    corr = covariance / F.sqrt(spread("xx", "mxx", x) * spread("yy", "myy", y))
-    corr = F.when(corr.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), corr)))
     label = F.array(*[F.lit(c) for c in names])
-    a, b = label[F.col("i")], label[F.col("j")]
     value = corr if digits is None else half_even(corr, digits)
-    one_way = F.struct(a.alias("a"), b.alias("b"), F.col("corr"))
-    other_way = F.struct(b.alias("a"), a.alias("b"), F.col("corr"))
-    both = F.when(F.col("i") == F.col("j"), F.array(one_way)).otherwise(F.array(one_way, other_way))
-    return merged.select("i", "j", value.alias("corr")).select(F.inline(both))
+    found = merged.select("i", "j", value.alias("corr"))
+    # Pairs of columns that never hold values together have no row yet.
+    grid = df.sparkSession.range(len(names) ** 2).select(
+        F.floor(F.col("id") / len(names)).cast("int").alias("p"), (F.col("id") % len(names)).cast("int").alias("q")
+    )
+    keyed = grid.select("p", "q", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
+    return keyed.join(found, ["i", "j"], "left").select(label[F.col("p")].alias("a"), label[F.col("q")].alias("b"), "corr")
 
 
 # Executive view of an engineered table
@@ -302,16 +284,18 @@ def value_tree(df: DataFrame) -> DataFrame:
     )
 
 
-def risk_crosstab(df: DataFrame, risks: Sequence[str] | None = None, n: int = 12) -> DataFrame:
+def risk_crosstab(df: DataFrame, risks: Sequence[str] = ("High", "Medium", "Low"), n: int = 12) -> DataFrame:
     """Lines per category and risk for the n largest categories; absent cells are 0.
 
-    Without `risks`, Spark looks up the distinct values first.
+    Risks that are not named are counted in `Other`, so a category ranks by all of its lines. One pass, no lookup
+    of distinct values.
     """
-    keys = ["Category", "Predicted_Expiry_Risk"]
-    counts = df.dropna(subset=keys).groupBy("Category").pivot("Predicted_Expiry_Risk", list(risks) if risks else None)
-    table = counts.count().na.fill(0)
-    cells = [c for c in table.columns if c != "Category"]
-    table = table.withColumn("_total", sum((F.col(f"`{c}`") for c in cells), F.lit(0)))
+    risk = F.col("Predicted_Expiry_Risk")
+    cells = [F.count_if(risk == r).alias(r) for r in risks]
+    other = F.count_if(~risk.isin(*risks)).alias("Other")
+    table = df.dropna(subset=["Category", "Predicted_Expiry_Risk"]).groupBy("Category").agg(
+        *cells, other, F.count(F.lit(1)).alias("_total")
+    )
     return top(table, n, "_total", "Category").drop("_total")
 
 

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from shelflight.functions import nan_to_null, parse_timestamp, strip_whitespace, title_case, truncate_to_long
 from shelflight.functions.numeric import to_number
-from shelflight.schema import DATE_COLUMNS, FLOAT_COLUMNS, INTEGER_COLUMNS, STRING_COLUMNS, type_names
+from shelflight.schema import (
+    DATE_COLUMNS, FLOAT_COLUMNS, INTEGER_COLUMNS, STAGE_FLOATS, STAGE_INTEGERS, STRING_COLUMNS, type_names,
+)
 
 # What a missing category is filled with.
 CATEGORY_FILLS = {
@@ -29,16 +31,19 @@ CATEGORY_FILLS = {
     "Overstock_Level": "Low",
 }
 
+# Numbers whose absence means none.
 ZERO_FILLS = (
     "Current_Stock", "Reorder_Level", "Daily_Sales", "Weekly_Demand", "Monthly_Demand", "Demand_Forecast",
     "Revenue_At_Risk", "Waste_Cost", "Recovered_Revenue", "Discount_%", "Customer_Rating",
 )
 
+# Text columns in title case.
 TITLE_CASED = (
     "Product_Name", "Category", "Subcategory", "Brand", "Supplier", "Store_City", "Overstock_Level",
     "Expiry_Risk", "Recommended_Action", "Promotion_Type", "Season", "Holiday", "Weather", "Prediction_Result",
 )
 
+# Fixed value: selling price over purchase price where one is missing.
 MARKUP = 1.35
 
 
@@ -132,10 +137,18 @@ def cast_types(df: DataFrame) -> DataFrame:
 
 
 def numbers_from_text(df: DataFrame) -> DataFrame:
-    """Typed numbers for a table read as text; what is no number becomes null."""
+    """Typed numbers for a table of any stage read as text; what is no number becomes null.
+
+    Raw quantities may have decimals and stay double until cleaning truncates them. A whole column of a later
+    stage becomes a whole number again if its files say so: one that no later stage has written stays double.
+    """
     names = type_names(df)
-    wanted = [c for c in (*INTEGER_COLUMNS, *FLOAT_COLUMNS, "Max_Stock_Level") if names.get(c) == "string"]
-    return df.withColumns({c: to_number(F.col(c), "string") for c in wanted})
+    wanted = [c for c in (*INTEGER_COLUMNS, *FLOAT_COLUMNS, *STAGE_INTEGERS, *STAGE_FLOATS) if names.get(c) == "string"]
+    later = "Predicted_Revenue" in names or "Inventory_Value" in names
+    whole = {*STAGE_INTEGERS, *INTEGER_COLUMNS} if later else set()
+    return df.withColumns(
+        {c: F.floor(to_number(F.col(f"`{c}`"), "string")).cast("bigint") if c in whole else to_number(F.col(f"`{c}`"), "string") for c in wanted}
+    )
 
 
 def clean(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from shelflight.functions import days_until, parse_timestamp, ratio_or_zero, to_
 from shelflight.operators.pareto import abc_class
 from shelflight.schema import DATE_COLUMNS, LEGACY_NAMES, LINE_KEY, as_date, type_names
 
-# Coerced to numbers with 0 for what is none. The overstock threshold is text in
+# Fixed values. Coerced to numbers with 0 for what is none. The overstock threshold is text in
 # a cleaned table, so a category such as "Low" becomes a threshold of 0.
 COERCED = (
     "Purchase_Price", "Selling_Price", "Current_Stock", "Reorder_Level", "Daily_Sales", "Weekly_Demand",
@@ -19,6 +19,7 @@ COERCED = (
     "Inventory_Value", "Revenue", "Profit", "Profit_Margin", "Inventory_Turnover", "Overstock_Level",
 )
 
+# Columns the analyses read as numbers.
 ANALYSIS_NUMBERS = (
     "Days_Remaining", "Purchase_Price", "Selling_Price", "Current_Stock", "Reorder_Level", "Daily_Sales",
     "Weekly_Demand", "Monthly_Demand", "Lead_Time_Days", "Demand_Forecast", "Revenue_At_Risk", "Discount_%",

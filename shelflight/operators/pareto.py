@@ -8,11 +8,11 @@ A running sum over one global window would sort the whole table in one task.
 Both operators avoid that:
 
 * `abc_class` needs only the two places where the running sum passes 80 % and
-  95 % of the total. They are found by narrowing down (value prefix, value, hash
-  prefix, key) with aggregates of bounded size, and every row is then classified
+  95 % of the total. They are found by narrowing down (value prefixes, value, hash
+  prefixes, key) with aggregates of bounded size, and every row is then classified
   by comparing it with them. No row is shuffled or sorted.
 * `running_share` gives every row its running sum: prefix sums over bounded
-  buckets plus a rank among equal values within one hash prefix.
+  buckets plus a rank among equal values, keys and parts.
 """
 
 from __future__ import annotations
@@ -27,23 +27,22 @@ from shelflight.session import ensure_checkpoint_dir
 CLASS_LIMITS = (("A", 80), ("B", 95))
 
 _WIDE = "decimal(38,0)"
-# Values are narrowed down by their leading digits, first three, then seven. Three
-# digits give below 20,000 prefixes in all, and each of those has at most 10,000
-# prefixes of seven digits, whatever the data holds.
-_COARSE, _FINE = 3, 7
-# For prefix sums over all values: at most about 1.5 million prefixes.
+# Values are narrowed down by their leading digits. Three digits give below 50,000 prefixes of at most 26 digits in
+# all, and each prefix has at most 100,000 of five digits more; 18 digits are the whole of an amount below 1e14.
+_LEVELS = (3, 8, 13, 18)
+# For prefix sums over all values: at most about 2 million prefixes.
 _MIDDLE = 5
+# Key hashes are narrowed down by four digits, 65,536 groups, and by four more.
 _HASH_DIGITS = 4
+# Rows that share value and key are dealt to so many parts.
+_SHARES = 4096
 
 
 def _value_prefix(units: Column, digits: int) -> Column:
     """`units` with all but the leading digits set to zero; keeps the order."""
-    size = F.abs(units)
-    step = F.lit(1).cast("bigint")
-    for zeros in range(1, 20 - digits):
-        long_enough = size >= F.lit(10 ** (zeros + digits - 1)).cast("bigint")
-        step = F.when(long_enough, F.lit(10**zeros).cast("bigint")).otherwise(step)
-    return units - F.pmod(units, step)
+    more = F.greatest(F.length(F.abs(units).cast("string")) - digits, F.lit(0))
+    step = F.rpad(F.lit("1"), more + 1, F.lit("0")).cast("decimal(27,0)")
+    return (units - F.pmod(units, step)).cast("decimal(28,0)")
 
 
 def _key_text(key: Column) -> Column:
@@ -52,7 +51,7 @@ def _key_text(key: Column) -> Column:
 
 def _values(rows: DataFrame) -> DataFrame:
     """Distinct values with their weight: a value held by a third of all lines is one row."""
-    weight = (F.col("u").cast("decimal(20,0)") * F.col("n")).cast(_WIDE)
+    weight = (F.col("u").cast("decimal(28,0)") * F.col("n").cast("decimal(10,0)")).cast(_WIDE)
     return rows.groupBy("u").agg(F.count(F.lit(1)).alias("n")).withColumn("s", weight)
 
 
@@ -79,34 +78,29 @@ def _narrow(groups: DataFrame, order: list[Column], carry: list[str]) -> DataFra
 def _boundaries(rows: DataFrame) -> DataFrame:
     """Per limit, the first row (value `u`, hash `h`, key `k`) beyond it.
 
-    Each step is an aggregate with map-side combine. The intermediate tables have
-    one row per limit, so the joins with them broadcast two rows.
+    Each step is an aggregate with map-side combine into groups whose number is bounded (see _LEVELS), so that the
+    window over them is small. The tables between have one row per limit: the joins with them broadcast two rows.
     """
-    values = _values(rows).withColumns(
-        {"coarse": _value_prefix(F.col("u"), _COARSE), "fine": _value_prefix(F.col("u"), _FINE)}
-    )
+    values = _values(rows).withColumns({f"p{n}": _value_prefix(F.col("u"), n) for n in _LEVELS})
     weight = F.sum("s").cast(_WIDE).alias("s")
     limits = F.explode(F.array(*[F.lit(percent) for _, percent in CLASS_LIMITS]))
     total = F.sum("s").over(Window.partitionBy()).cast(_WIDE)
-    coarse = values.groupBy("coarse").agg(weight).withColumns({"total": total, "base": F.lit(0).cast(_WIDE)})
-    first = _narrow(coarse.select("*", limits.alias("limit")), [F.col("coarse").desc()], ["coarse"])
-    inside = values.join(F.broadcast(first), "coarse")
-    second = _narrow(
-        inside.groupBy("limit", "total", "base", "fine").agg(weight), [F.col("fine").desc()], ["fine"]
-    )
-    inside = values.join(F.broadcast(second), "fine")
-    third = _narrow(inside.select("limit", "total", "base", "u", "s"), [F.col("u").desc()], ["u"])
-
-    tied = rows.join(F.broadcast(third), "u").withColumn("h", F.md5("k"))
-    weight = F.sum(F.col("u").cast("decimal(20,0)")).cast(_WIDE).alias("s")
-    grouping = ["limit", "total", "base", "u"]
-    fourth = _narrow(
-        tied.groupBy(*grouping, F.left("h", F.lit(_HASH_DIGITS)).alias("hp")).agg(weight),
-        [F.col("hp").asc()],
-        ["u", "hp"],
-    )
-    in_hash = tied.drop("total", "base").withColumn("hp", F.left("h", F.lit(_HASH_DIGITS)))
-    last = in_hash.join(F.broadcast(fourth), ["limit", "u", "hp"]).groupBy(*grouping, "h", "k").agg(weight)
+    names = [f"p{n}" for n in _LEVELS]
+    groups = values.groupBy(names[0]).agg(weight).withColumns({"total": total, "base": F.lit(0).cast(_WIDE)})
+    found = _narrow(groups.select("*", limits.alias("limit")), [F.col(names[0]).desc()], [names[0]])
+    for outer, inner in zip(names, [*names[1:], "u"], strict=True):
+        inside = values.join(F.broadcast(found), outer).groupBy("limit", "total", "base", inner).agg(weight)
+        found = _narrow(inside, [F.col(inner).desc()], [inner])
+
+    tied = rows.join(F.broadcast(found.select("limit", "u")), "u").withColumn("h", F.md5("k"))
+    weight = F.sum(F.col("u").cast("decimal(28,0)")).cast(_WIDE).alias("s")
+    for digits in (_HASH_DIGITS, 2 * _HASH_DIGITS):
+        start = F.left("h", F.lit(digits))
+        inside = tied.groupBy("limit", "u", start.alias("hp")).agg(weight).join(F.broadcast(found), ["limit", "u"])
+        found = _narrow(inside, [F.col("hp").asc()], ["u", "hp"])
+        tied = tied.withColumn("hp", start).join(F.broadcast(found.select("limit", "u", "hp")), ["limit", "u", "hp"]).drop("hp")
+        found = found.drop("hp")
+    last = tied.groupBy("limit", "u", "h", "k").agg(weight).join(F.broadcast(found), ["limit", "u"])
     return _narrow(last, [F.col("h").asc(), F.col("k").asc()], ["u", "h", "k"])
 
 
@@ -123,16 +117,20 @@ def abc_boundaries(df: DataFrame, value: str, key: str) -> dict[str, Row | None]
     return {name: found.get(percent) for name, percent in CLASS_LIMITS}
 
 
-def abc_class(df: DataFrame, value: str, key: str, zero_total: str) -> DataFrame:
+def abc_class(df: DataFrame, value: str, key: str, zero_total: str, negative_total: str | None = None) -> DataFrame:
     """Add `ABC_Category`: A up to 80 % of the running value share, B to 95 %, else C.
 
     A line without value is C. When all lines together are worth nothing there
-    is no share, and every line gets `zero_total`. Runs the jobs that find the
-    boundaries; the classification itself is a comparison per row.
+    is no share, and every line gets `zero_total`; when they are worth less than
+    nothing, `negative_total` if given. Runs the jobs that find the boundaries;
+    the classification itself is a comparison per row.
     """
     edges = abc_boundaries(df, value, key)
-    if all(edge is None for edge in edges.values()):
+    known = [edge for edge in edges.values() if edge is not None]
+    if not known:
         return df.withColumn("ABC_Category", F.lit(zero_total))
+    if negative_total is not None and known[0]["total"] < 0:
+        return df.withColumn("ABC_Category", F.lit(negative_total))
     units, name = to_units(F.col(value)), _key_text(F.col(key))
     hashed = F.md5(name)
 
@@ -149,20 +147,28 @@ def abc_class(df: DataFrame, value: str, key: str, zero_total: str) -> DataFrame
 def running_share(df: DataFrame, value: str, key: str) -> DataFrame:
     """Add `Running_Value` and `Running_Share`, inclusive of the row itself.
 
-    The rows are shuffled once, by value and hash prefix, so that a value shared
-    by a third of all rows is spread over 65,536 groups. They are checkpointed
-    first, because the sums and the rows both start from them. Runs a job.
+    Rows are ranked among those of equal value and key hash prefix, so a value
+    that a third of all rows hold is spread over 65,536 groups. Rows that share
+    key and value, whose order is free, are dealt to parts first, so a key that a
+    third of all rows hold is spread as well. Pass only the columns wanted: all of
+    them are checkpointed, because the sums and the rows both start from them.
+    Runs a job.
     """
     ensure_checkpoint_dir(df.sparkSession)
     name = _key_text(F.col(key))
-    keyed = df.withColumns({"_u": to_units(F.col(value)), "_k": name, "_h": F.md5(name)})
-    keyed = keyed.withColumn("_hp", F.left("_h", F.lit(_HASH_DIGITS))).checkpoint()
+    keyed = df.withColumns(
+        {
+            "_u": to_units(F.col(value)), "_k": name, "_h": F.md5(name),
+            "_part": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(_SHARES)),
+        }
+    ).checkpoint()
     values = _values(keyed.filter("_u is not null").select(F.col("_u").alias("u")))
     values = values.withColumn("p", _value_prefix(F.col("u"), _MIDDLE))
 
     earlier = (Window.unboundedPreceding, -1)
     zero = F.lit(0).cast(_WIDE)
     prefixes = values.groupBy("p").agg(F.sum("s").cast(_WIDE).alias("s"))
+    # One task, over at most about 2 million prefixes.
     before_prefix = F.sum("s").over(Window.orderBy(F.col("p").desc()).rowsBetween(*earlier))
     total = F.sum("s").over(Window.partitionBy())
     prefixes = prefixes.select(
@@ -176,20 +182,25 @@ def running_share(df: DataFrame, value: str, key: str) -> DataFrame:
             F.col("u").alias("_u"), "_total", (F.col("before_prefix") + F.col("before_value")).cast(_WIDE).alias("_before")
         )
     )
+    # Rows of one value before each hash prefix, then before each part of a key within its prefix.
+    parts = keyed.groupBy("_u", "_h", "_k", "_part").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.withColumn("_hp", F.left("_h", F.lit(_HASH_DIGITS)))
     before_hash = F.sum("n").over(Window.partitionBy("_u").orderBy("_hp").rowsBetween(*earlier))
+    prefixed = parts.groupBy("_u", "_hp").agg(F.sum("n").alias("n"))
+    prefixed = prefixed.select("_u", "_hp", F.coalesce(before_hash, F.lit(0)).alias("_ties")).join(values, "_u")
+    before_part = F.sum("n").over(Window.partitionBy("_u", "_hp").orderBy("_h", "_k", "_part").rowsBetween(*earlier))
     groups = (
-        keyed.groupBy("_u", "_hp")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_ties", F.coalesce(before_hash, F.lit(0)))
-        .join(values, "_u")
-        .select("_u", "_hp", "_ties", "_before", "_total")
+        parts.withColumn("_inside", F.coalesce(before_part, F.lit(0)))
+        .join(prefixed, ["_u", "_hp"])
+        .select("_u", "_h", "_k", "_part", (F.col("_ties") + F.col("_inside")).alias("_ties"), "_before", "_total")
     )
-    rank = F.row_number().over(Window.partitionBy("_u", "_hp").orderBy("_h", "_k"))
-    through = F.col("_u").cast("decimal(20,0)") * (F.col("_ties") + rank)
+    same = ["_u", "_h", "_k", "_part"]
+    rank = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1)))
+    through = F.col("_u").cast("decimal(28,0)") * (F.col("_ties") + rank).cast("decimal(10,0)")
     return (
-        keyed.join(groups, ["_u", "_hp"], "left")
+        keyed.join(groups, same, "left")
         .withColumn("_running", (F.col("_before") + through.cast(_WIDE)).cast(_WIDE))
         .withColumn("Running_Value", units_to_amount(F.col("_running")))
         .withColumn("Running_Share", F.try_divide(F.col("_running").cast("double"), F.col("_total").cast("double")))
-        .drop("_u", "_k", "_h", "_hp", "_ties", "_before", "_total", "_running")
+        .drop(*same, "_ties", "_before", "_total", "_running")
     )

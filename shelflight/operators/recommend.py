@@ -39,12 +39,13 @@ _MAIN_TARGET, _OTHER_TARGET = "Store Front East", "Warehouse A"
 def conform(df: DataFrame) -> DataFrame:
     """Every column the rules read, under one name, without nulls."""
     df = alias_if_missing(df.toDF(*[c.strip() for c in df.columns]), _FALLBACK_NAMES)
+    kinds = type_names(df)
     for name in ("Stock_Quantity", "Min_Stock_Level", "Cost_Price", "Selling_Price",
                  "Predicted_Sales_Velocity", "Predicted_Revenue", "Predicted_Revenue_at_Risk"):
-        value = F.col(name) if name in df.columns else F.lit(0)
+        value = to_number(F.col(name), kinds[name]) if name in kinds else F.lit(0)
         df = df.withColumn(name, F.coalesce(value, F.lit(0)))
     minimum = F.col("Min_Stock_Level")
-    maximum = F.col("Max_Stock_Level") if "Max_Stock_Level" in df.columns else minimum
+    maximum = to_number(F.col("Max_Stock_Level"), kinds["Max_Stock_Level"]) if "Max_Stock_Level" in kinds else minimum
     risk = F.col("Predicted_Expiry_Risk") if "Predicted_Expiry_Risk" in df.columns else F.lit(None).cast("string")
     df = df.withColumn("Max_Stock_Level", F.coalesce(maximum, minimum))
     return df.withColumn("Predicted_Expiry_Risk", F.coalesce(risk, F.lit("No Risk")))

@@ -11,10 +11,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelflight.functions import days_until, half_even, ratio_or_zero
+from shelflight.functions import days_until, half_even, ratio_or_zero, to_number
 from shelflight.operators.features import alias_if_missing, coerce_dates
 from shelflight.operators.pareto import abc_class
-from shelflight.schema import LEGACY_NAMES, LINE_KEY, as_date
+from shelflight.schema import LEGACY_NAMES, LINE_KEY, as_date, type_names
 
 NO_EXPIRY_DAYS = 9999
 
@@ -29,6 +29,9 @@ def scoring_inputs(df: DataFrame, as_of: str | dt.date) -> DataFrame:
     if "Last_Restock_Date" not in df.columns:
         df = df.withColumn("Last_Restock_Date", F.lit(None).cast("timestamp_ntz"))
     df = coerce_dates(df, ("Date_Added", "Expiry_Date", "Last_Restock_Date"))
+    kinds = type_names(df)
+    prices = ("Cost_Price", "Selling_Price", "Stock_Quantity", "Past_Sales_Volume", "Sales_Velocity")
+    df = df.withColumns({c: to_number(F.col(c), kinds[c]) for c in prices if kinds.get(c) == "string"})
     days = days_until(F.col("Expiry_Date"), as_date(as_of)) if "Expiry_Date" in df.columns else F.lit(None)
     cost, volume = F.col("Cost_Price"), F.col("Past_Sales_Volume")
     return (
@@ -41,8 +44,8 @@ def scoring_inputs(df: DataFrame, as_of: str | dt.date) -> DataFrame:
 
 
 def score_prep(df: DataFrame, as_of: str | dt.date, key: str = LINE_KEY) -> DataFrame:
-    """Scoring inputs plus the Pareto class; a table worth nothing is all A here."""
-    return abc_class(scoring_inputs(df, as_of), "Inventory_Value", key, zero_total="A")
+    """Scoring inputs plus the Pareto class; a table worth nothing, or less, is all A here."""
+    return abc_class(scoring_inputs(df, as_of), "Inventory_Value", key, zero_total="A", negative_total="A")
 
 
 def rule_predictions(df: DataFrame) -> DataFrame:

@@ -45,11 +45,11 @@ def split(df: DataFrame, key: str, label: str | None = None, seed: int = SEED) -
     buckets = rows.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n"))
     wanted = F.greatest(F.floor(F.sum("n").over(Window.partitionBy("g")) * TRAIN_PERCENT / 100), F.lit(1))
     edge = _first_reaching(buckets.withColumn("wanted", wanted), "b")
-    in_edge = rows.join(F.broadcast(edge), ["g", "b"]).groupBy("g", "h", "wanted").agg(F.count(F.lit(1)).alias("n"))
+    in_edge = rows.join(edge, ["g", "b"]).groupBy("g", "h", "wanted").agg(F.count(F.lit(1)).alias("n"))
     cuts = _first_reaching(in_edge, "h").select(F.col("g").alias("_g"), F.col("h").alias("_cut"))
     return (
         df.withColumns({"_g": group, "_h": hashed})
-        .join(F.broadcast(cuts), "_g")
+        .join(cuts, "_g")
         .withColumn("is_train", F.col("_h") <= F.col("_cut"))
         .drop("_g", "_h", "_cut")
     )

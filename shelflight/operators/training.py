@@ -6,6 +6,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -24,6 +26,7 @@ from shelflight.operators.splits import SEED, split
 from shelflight.schema import LEGACY_NAMES, LINE_KEY
 from shelflight.session import ensure_checkpoint_dir
 
+# Columns the models read as numbers.
 TRAINING_NUMBERS = (
     "Purchase_Price", "Selling_Price", "Current_Stock", "Reorder_Level", "Daily_Sales", "Weekly_Demand",
     "Monthly_Demand", "Demand_Forecast", "Days_Remaining", "Revenue_At_Risk", "Recovered_Revenue", "Waste_Cost",
@@ -104,7 +107,7 @@ class Models:
         for name in ("expiry", "demand", "revenue", "segment"):
             try:
                 loaded[name] = PipelineModel.load(f"{folder}/{name}")
-            except Exception as error:  # the reader's error type depends on the file system
+            except (Py4JJavaError, PySparkException) as error:  # what the reader raises, by file system
                 missing.append(f"{name} ({type(error).__name__})")
         if missing:
             raise FileNotFoundError(f"models not readable under {folder}: {', '.join(missing)}; train them first")

@@ -1,4 +1,4 @@
-"""The stages in order, each a lazy plan on top of the former one."""
+"""The stages in order: as plans on top of one another, or each written and read back."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from shelflight.operators.cleaning import clean
 from shelflight.operators.features import engineer
-from shelflight.operators.mapping import SchemaReport, standardize
+from shelflight.operators.mapping import Coverage, standardize
 from shelflight.operators.recommend import impact_summary, recommend
 from shelflight.operators.scoring import score_by_rules
 from shelflight.operators.training import Models, score_by_models
@@ -22,14 +22,14 @@ from shelflight.sources.writers import write_csv, write_parquet, write_summary
 
 @dataclass
 class Run:
-    """Tables of one run; nothing is computed before it is read or written."""
+    """Tables of one run, computed when they are read or written."""
 
     cleaned: DataFrame
     engineered: DataFrame
     scored: DataFrame
     recommendations: DataFrame
     summary: DataFrame
-    report: SchemaReport | None = None
+    report: Coverage | None = None
 
 
 def plan_run(
@@ -40,7 +40,12 @@ def plan_run(
     overrides: Mapping[str, str] | None = None,
     key: str = LINE_KEY,
 ) -> Run:
-    """Clean, engineer, score and recommend. Without models the rules score."""
+    """Clean, engineer, score and recommend. Without models the rules score.
+
+    Not lazy throughout: the boundaries of the Pareto class, one search for the features and one for the scores,
+    run jobs over the cleaned rows here. `execute_run` stores the cleaned rows first; with this function, pass `raw`
+    from a stored table that is cheap to clean again.
+    """
     report = None
     if map_columns:
         raw, report = standardize(raw, as_of, overrides)

@@ -34,6 +34,7 @@ FIELD_ALIASES: dict[str, list[str]] = {
     "Customer_Rating": ["customer rating", "rating", "review score"],
 }
 
+# Fields without which results rest on defaults, and fields the compatibility score counts.
 CORE_FIELDS = ("Product_ID", "Current_Stock", "Purchase_Price", "Selling_Price")
 RECOMMENDED_FIELDS = CORE_FIELDS + ("Product_Name", "Category", "Daily_Sales", "Reorder_Level", "Expiry_Date")
 
@@ -53,7 +54,19 @@ FLOAT_COLUMNS = (
 )
 DATE_COLUMNS = ("Manufacturing_Date", "Expiry_Date", "Timestamp")
 
-# Same measure, second name: every later stage and the published tables use these.
+# Numeric columns of the later stages, by the type they have there.
+STAGE_INTEGERS = (
+    "Stock_Quantity", "Min_Stock_Level", "Past_Sales_Volume", "Days_To_Expiry", "Inventory_Health",
+    "Predicted_Inventory_Health", "Predicted_Cluster", "Low_Stock_Flag", "Overstock_Flag", "Reorder_Flag",
+)
+STAGE_FLOATS = (
+    "Cost_Price", "Max_Stock_Level", "Sales_Velocity", "Recoverable_Revenue", "Inventory_Value", "Revenue", "Profit",
+    "Profit_Margin", "Inventory_Turnover", "Potential_Sales_Value", "Estimated_Daily_Revenue",
+    "Estimated_Daily_Profit", "Profit_Margin_%", "Recovery_Rate_%", "Stock_Coverage_Days",
+    "Predicted_Sales_Velocity", "Predicted_Revenue", "Predicted_Revenue_at_Risk", "Expected_Revenue_Recovery",
+)
+
+# Fixed values. Same measure, second name: every later stage and the published tables use these.
 LEGACY_NAMES: dict[str, str] = {
     "Cost_Price": "Purchase_Price",
     "Stock_Quantity": "Current_Stock",
@@ -68,6 +81,7 @@ LEGACY_NAMES: dict[str, str] = {
 # The order an ABC class boundary uses among lines of equal value.
 LINE_KEY = "Batch_No"
 
+# Spellings of "no value" in files.
 NULL_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Adaptive execution sizes the shuffle partitions, splits skewed joins and turns
 # a join into a broadcast only when the measured size is below the threshold.
@@ -11,9 +11,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # The JVM does not compile methods above 8,000 bytes of bytecode. Fusing a wide
-    # cleaning stage into one method would leave it interpreted.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -22,6 +19,7 @@ def build_session(app_name: str = "shelflight", master: str | None = None, **ext
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for name, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in extra.items()}}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
@@ -33,17 +31,6 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(name, value)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash the rows over all cores, but only if the scan cannot use them.
-
-    A table in few files or row groups would be read and transformed by as many
-    tasks. One with a task per core or more is left alone, so large inputs pay
-    nothing. Looks at the file list only, runs no job.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; where none is set, a folder in the warehouse, which is shared as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -13,7 +13,7 @@ from shelflight.operators.recommend import impact_summary, recommend
 from shelflight.operators.scoring import score_kpis
 from shelflight.operators.splits import split
 from shelflight.plans.stages import execute_run
-from shelflight.sources.inventory_view import AS_OF, inventory_lines
+from checks.inventory_view import AS_OF, inventory_lines
 from shelflight.streaming.live import live_recommendations, write_live
 
 DATA = "/root/testdata/sf0.001"
