@@ -19,11 +19,13 @@ from shelflight.llm.shared import Runs, components, discard, ship, stored, text_
 from shelflight.llm.shingles import shingle_numbers, shingle_sets, word_numbers
 from shelflight.llm.token_ids import slices
 
-SKETCH_BITS = 20  # occurrences of words are counted in so many buckets: 4 MB, whatever the input
+SKETCH_BITS = 22  # occurrences of words are counted in so many buckets, one byte each: 4 MB, whatever the input
+SKETCH_STEPS = 8  # a byte holds so many steps for each doubling of the count
 VERIFY_COST = 50.0  # work to verify a candidate, as a multiple of the work to look at one more posting
 LONGEST = 4  # largest l
 SLICE = 8 << 20
-HEAD = 32  # prefix shingles that a document shows at each meeting; beyond them a pair may only meet more than once
+HEAD = 16  # prefix shingles that a document shows at each meeting; beyond them a pair may only meet more than once
+FEW = 12  # a meeting of so many documents is decided one pair at a time, a larger one by matrix products
 BLOCK = 1024  # documents of one token that one side of a meeting holds
 PARTNERS = 512  # partners of a document that one group of the verification holds
 
@@ -52,21 +54,26 @@ def census(texts: DataFrame, size: int) -> DataFrame:
 
 
 def word_sketch(counted: DataFrame) -> np.ndarray:
-    """Occurrences of words by bucket over all documents; of a fixed size, so it fits driver and executors."""
-    rows = counted.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
-    sketch[rows["bucket"].to_numpy()] = np.minimum(rows["n"].to_numpy(), np.iinfo(np.int32).max)
+    """Logarithm of the occurrences of words by bucket over all documents, in steps.
+
+    Of a fixed size, so it fits driver and executors. Its steps only order shingles and estimate work.
+    """
+    step = F.least(F.round(F.log2(F.sum("n").cast("double")) * SKETCH_STEPS), F.lit(255)).cast("short")
+    rows = counted.where("bucket IS NOT NULL").groupBy("bucket").agg(step.alias("step")).toArrow()
+    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+    for batch in rows.to_batches():
+        sketch[batch.column("bucket").to_numpy()] = batch.column("step").to_numpy()
     return sketch
 
 
-def choose_length(uses: np.ndarray, base: int) -> int:
-    """The l of least estimated work for a document whose ordered shingles occur at most `uses` times.
+def choose_length(steps: np.ndarray, base: int) -> int:
+    """The l of least estimated work for a document, from the sketch's steps for its ordered shingles.
 
     At l the document looks at the postings of base + l - 1 shingles. Each candidate appears in l of them or more,
     so there are at most postings / l to verify.
     """
-    most = min(LONGEST, len(uses) - base + 1)
-    postings = np.cumsum(uses)[base - 1 : base - 1 + most].astype(float)
+    most = min(LONGEST, len(steps) - base + 1)
+    postings = np.cumsum(np.exp2(steps[: base - 1 + most] / SKETCH_STEPS))[base - 1 :]
     return int(np.argmin(postings * (1 + VERIFY_COST / np.arange(1, most + 1)))) + 1
 
 
@@ -82,7 +89,7 @@ def prefixes(texts: DataFrame, sketch: np.ndarray, size: int, percent: int) -> D
                 words, begins = word_numbers(part.column("text"))
                 numbers, at = shingle_numbers(words, begins, size)
                 counts = np.diff(begins)
-                seen = np.concatenate([uses_of[words >> np.uint64(64 - SKETCH_BITS)], np.zeros(size, np.int32)])
+                seen = np.concatenate([uses_of[words >> np.uint64(64 - SKETCH_BITS)], np.zeros(size, np.uint8)])
                 each = np.diff(at)
                 start = np.repeat(begins[:-1] - at[:-1], each) + np.arange(at[-1])
                 uses = seen[start]
@@ -180,42 +187,71 @@ def due_here(token: int, rows: dict[str, list], apart: np.ndarray, percent: int)
     return due.any(axis=1)
 
 
+def due_few(token: int, rows: list[tuple], percent: int) -> set[int]:
+    """`due_here` for a few rows of (one, two, block, doc, n, l, label, head, whole)."""
+    due: set[int] = set()
+    for i, (one, two, block, _, n, length, label, head, whole) in enumerate(rows):
+        for j in range(i):
+            _, _, other_block, _, m, other_length, other_label, other_head, other_whole = rows[j]
+            if label == other_label or (one != two and block == other_block) or 100 * min(n, m) < percent * max(n, m):
+                continue
+            members = set(other_head)
+            shared = [t for t in head if t in members]
+            if shared and shared[0] != token and (token not in head or head.index(shared[0]) < head.index(token)):
+                continue
+            if not (whole and other_whole) or len(shared) >= min(length, other_length):
+                due |= {i, j}
+    return due
+
+
 def meetings(postings: DataFrame, percent: int) -> DataFrame:
     """(token, one, two, block, doc): the documents to be verified with one another, and where.
 
-    `postings` hold token, doc, n, l, rank and label; tokens with one label are left out before. A token's
-    documents are dealt to blocks of about BLOCK, and blocks meet in pairs. No pair of documents becomes a row.
+    `postings` hold token, doc, n, l, rank, label and blocks, of tokens with several labels. A token's documents are
+    dealt to so many blocks, and blocks meet in pairs. No pair of documents becomes a row.
     """
     heads = postings.groupBy("doc").agg(
         F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]), 1, HEAD).alias("head"),
         (F.count("*") <= HEAD).alias("whole"),
     )
-    blocks = postings.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    block = F.pmod(F.xxhash64("doc"), F.col("blocks"))
-    rows = (
-        postings.join(heads, "doc").join(blocks, "token").withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        .select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "doc", "n", "l", "label", "head", "whole")
+    dealt = postings.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    rows = dealt.join(heads, "doc").select(
+        "token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "doc", "n", "l", "label", "head", "whole"
     )
+    names = ["token", "one", "two", "block", "doc"]
 
     def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, out, size = ["token", "one", "two", "block", "doc"], [], 0
-        for run in Runs(batches, ("token", "one", "two")):
-            label, part = run["label"].to_numpy(), run["block"].to_numpy()
-            apart = label[:, None] != label[None, :]
-            if run["one"][0].as_py() != run["two"][0].as_py():
-                apart &= part[:, None] != part[None, :]
-            if not apart.any():
-                continue
-            mask = due_here(run["token"][0].as_py(), run.select(["head", "n", "l", "whole"]).to_pydict(), apart, percent)
-            if mask.any():
-                out.append(run.select(names).filter(pa.array(mask)))
-                size += out[-1].num_rows
-            if size > 10_000:
-                yield from pa.concat_tables(out).to_batches()
-                out, size = [], 0
-        if out:
-            yield from pa.concat_tables(out).to_batches()
+        key, held, out = None, [], []
+
+        def decide() -> list[tuple]:
+            if len(held) < 2:
+                return []
+            token, (one, two) = key[0], key[1:]
+            if len(held) <= FEW:
+                return [(token, one, two, held[i][2], held[i][3]) for i in sorted(due_few(token, held, percent))]
+            _, _, block, docs, n, length, label, head, whole = zip(*held, strict=True)
+            apart = np.not_equal.outer(np.array(label), np.array(label))
+            if one != two:
+                apart &= np.not_equal.outer(np.array(block), np.array(block))
+            mask = due_here(token, {"head": head, "n": n, "l": length, "whole": whole}, apart, percent)
+            return [(token, one, two, block[i], docs[i]) for i in np.flatnonzero(mask)]
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], names=names)
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("token", "one", "two", "block", "doc", "n", "l", "label", "head", "whole")]
+            for token, one, two, *rest in zip(*columns, strict=True):
+                if key != (token, one, two):
+                    out += decide()
+                    key, held = (token, one, two), []
+                held.append((one, two, *rest))
+            if len(out) > 10_000:
+                yield flush()
+                out = []
+        out += decide()
+        yield flush()
 
     ordered = rows.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two")
     return ordered.mapInArrow(choose, "token bigint, one bigint, two bigint, block bigint, doc bigint")
@@ -272,15 +308,18 @@ def similar_pairs(texts: DataFrame, sketch: np.ndarray, size: int, percent: int)
     joined yet meet at one of these shingles and are compared inside a task, so pairs never become rows.
     """
     postings = prefixes(texts, sketch, size, percent)
-    hubs = postings.groupBy("token").agg(F.min(F.struct("doc", "n", "l")).alias("hub"), F.max("doc").alias("last")).where("hub.doc < last")
-    common = stored(postings.join(hubs.select("token", "hub"), "token").select("token", "doc", "n", "l", "rank", "hub"), "postings")
+    packed = postings.select("token", "doc", F.expr("shiftleft(n, 32) + shiftleft(rank, 3) + l").alias("facts"))
+    hubs = packed.groupBy("token").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last")
+    facts = [F.expr(f"cast({e} as bigint) as {c}") for c, e in (("n", "shiftright(facts, 32)"), ("rank", "shiftright(facts, 3) & 536870911"), ("l", "facts & 7"))]
+    common = stored(packed.join(hubs.select("token", "hub"), "token").select("token", "doc", "hub", *facts), "postings")
     near = stored(
         texts.join(common.select(F.col("doc").alias("id")).distinct(), F.col("doc_id") == F.col("id"), "left_semi"), "candidates"
     )
+    heads = common.where("doc = hub").groupBy(F.col("doc").alias("a")).agg(F.min("n").alias("hub_n"), F.min("l").alias("hub_l"))
     star = (
-        common.where("doc <> hub.doc").where(_sizes_fit("n", "hub.n", percent))
-        .groupBy(F.col("hub.doc").alias("a"), F.col("doc").alias("b"))
-        .agg(F.count("*").alias("shared"), F.min(F.least("l", "hub.l")).alias("needed")).where("shared >= needed")
+        common.where("doc <> hub").groupBy(F.col("hub").alias("a"), F.col("doc").alias("b"))
+        .agg(F.count("*").alias("shared"), F.min("n").alias("n"), F.min("l").alias("l")).join(heads, "a")
+        .where(_sizes_fit("n", "hub_n", percent)).where(F.col("shared") >= F.least("l", "hub_l"))
     )
     first = stored(star.select("a", "b"), "star-pairs")
     links = stored(verify(first, near, size, percent), "star-links")
@@ -288,8 +327,9 @@ def similar_pairs(texts: DataFrame, sketch: np.ndarray, size: int, percent: int)
     onward = nearest.select(F.col("doc").alias("label"), F.col("label").alias("next"))
     labels = stored(nearest.join(onward, "label", "left").select("doc", F.coalesce("next", "label").alias("label")), "labels")
     tagged = common.drop("hub").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    apart = tagged.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    mixed = stored(tagged.join(apart.select("token"), "token"), "mixed-postings")
+    blocks = F.ceil(F.count("*") / BLOCK).alias("blocks")
+    apart = tagged.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), blocks).where("low < high")
+    mixed = stored(tagged.join(apart.select("token", "blocks"), "token"), "mixed-postings")
     met = stored(meetings(mixed, percent), "meetings")
     found = stored(links.unionByName(verify_meetings(met, near, size, percent)), "similar-pairs")
     discard(common, near, first, links, labels, mixed, met)

@@ -94,8 +94,8 @@ def test_shingles_count_as_sets_of_words():
 
 
 def test_longer_prefix_only_where_it_saves_work():
-    assert jaccard.choose_length(np.array([1, 1, 1, 1, 1, 1]), 2) > 1
-    assert jaccard.choose_length(np.array([1, 1, 10**6, 10**6, 10**6]), 2) == 1
+    assert jaccard.choose_length(np.zeros(6), 2) > 1
+    assert jaccard.choose_length(np.array([0, 0, 160, 160, 160]), 2) == 1
 
 
 def plain_links(rows, least):
