@@ -22,7 +22,7 @@ class WordTokenizer:
     no result.
     """
 
-    def __init__(self, path: str, words: int = 800_000) -> None:
+    def __init__(self, path: str, words: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
