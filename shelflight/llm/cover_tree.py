@@ -101,48 +101,39 @@ class Tree:
 def walk(one: Tree, two: Tree, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """Members of both trees, (many, many, True) where every pair is a link, or pairs (i, j, False) of single links."""
     reach = float(np.sqrt(2 - 2 * least))
-    pairs = None
-    for level in range(len(one.levels)):
-        (ca, ra, pa_, oa, ba), (cb, rb, pb, ob, bb) = one.levels[level], two.levels[level]
-        left, right = [], []
-        if pairs is None:
-            xb = two.x[cb].astype(np.float32)
-            for first in range(0, len(ca), 1024):
-                part = slice(first, first + 1024)
-                dots = one.x[ca[part]].astype(np.float32) @ xb.T
-                wide = ra[part].astype(np.float32)[:, None] + (rb + reach + SLACK).astype(np.float32)[None, :]
-                i, j = np.nonzero(2 * dots + wide * wide >= 2 - SLACK)
-                left.append(i + first)
-                right.append(j)
-            i, j = np.concatenate(left), np.concatenate(right)
-        else:
-            # Children of the pairs that were opened.
-            kids_a, at_a = np.argsort(pa_, kind="stable"), np.searchsorted(np.sort(pa_), np.arange(pairs[2] + 1))
-            kids_b, at_b = np.argsort(pb, kind="stable"), np.searchsorted(np.sort(pb), np.arange(pairs[3] + 1))
-            for a, b in zip(*pairs[:2], strict=True):
-                ka, kb = kids_a[at_a[a] : at_a[a + 1]], kids_b[at_b[b] : at_b[b + 1]]
-                dots = one.x[ca[ka]] @ two.x[cb[kb]].T
-                wide = ra[ka][:, None] + rb[kb][None, :] + reach + SLACK
-                p, q = np.nonzero(2 * dots + wide * wide >= 2 - SLACK)
-                left.append(ka[p])
-                right.append(kb[q])
-            i, j = (np.concatenate([*side, np.zeros(0, np.int64)]).astype(np.int64) for side in (left, right))
-        gap = np.linalg.norm(one.x[ca[i]] - two.x[cb[j]], axis=1)
-        whole = gap + ra[i] + rb[j] <= reach - SLACK
-        last = level == len(one.levels) - 1
-        for a, b, all_ in zip(i.tolist(), j.tolist(), whole.tolist(), strict=True):
-            if not (all_ or last):
-                continue
-            ma, mb = oa[ba[a] : ba[a + 1]], ob[bb[b] : bb[b + 1]]
-            if all_:
-                yield ma, mb, True
-            else:
-                p, q = np.nonzero(one.x[ma] @ two.x[mb].T >= least)
-                if len(p):
-                    yield ma[p], mb[q], False
-        pairs = (i[~whole], j[~whole], len(ca), len(cb))
-        if not len(pairs[0]):
+    open_ = None
+    for level, ((ca, ra, pa_, oa, ba), (cb, rb, pb, ob, bb)) in enumerate(zip(one.levels, two.levels, strict=True)):
+        xa, xb = one.x[ca].astype(np.float32), two.x[cb].astype(np.float32)
+        still = np.zeros((len(ca), len(cb)), dtype=bool)
+        for first in range(0, len(ca), 1024):
+            part = slice(first, first + 1024)
+            dots = xa[part] @ xb.T
+            wide = ra[part].astype(np.float32)[:, None] + (rb + reach + SLACK).astype(np.float32)[None, :]
+            near = 2 * dots + wide * wide >= 2 - SLACK
+            if open_ is not None:
+                near &= open_[pa_[part]][:, pb]
+            i, j = np.nonzero(near)
+            room = reach - SLACK - ra[i + first] - rb[j]
+            whole = (room > 0) & (2 - 2 * dots[i, j] <= room * room - SLACK)
+            near[i[whole], j[whole]] = False
+            still[part] = near
+            for a, b in zip((i[whole] + first).tolist(), j[whole].tolist(), strict=True):
+                yield oa[ba[a] : ba[a + 1]], ob[bb[b] : bb[b + 1]], True
+        open_ = still
+        if not still.any():
             return
+    # What is open at the last level is compared point by point; most nodes there hold one.
+    i, j = np.nonzero(open_)
+    single = (np.diff(ba)[i] == 1) & (np.diff(bb)[j] == 1)
+    p, q = oa[ba[i[single]]], ob[bb[j[single]]]
+    linked = np.einsum("nd,nd->n", one.x[p], two.x[q]) >= least
+    if linked.any():
+        yield p[linked], q[linked], False
+    for a, b in zip(i[~single].tolist(), j[~single].tolist(), strict=True):
+        ma, mb = oa[ba[a] : ba[a + 1]], ob[bb[b] : bb[b + 1]]
+        p, q = np.nonzero(one.x[ma] @ two.x[mb].T >= least)
+        if len(p):
+            yield ma[p], mb[q], False
 
 
 def meet(one: Tree, two: Tree, times: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
