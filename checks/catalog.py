@@ -30,7 +30,7 @@ from shelflight.session import shared_folder, tune
 from checks.inventory_view import AS_OF, inventory_lines
 from shelflight.sources.publish import conform_table, product_view, published_tables
 from shelflight.sources.readers import read_csv, read_summary
-from shelflight.sources.writers import write_csv, write_summary
+from shelflight.sources.writers import write_csv, write_parquet, write_summary
 
 LOADED_AT = dt.datetime(2001, 12, 1, 8, 30)
 
@@ -38,18 +38,25 @@ LOADED_AT = dt.datetime(2001, 12, 1, 8, 30)
 class Stages:
     """The stages over one data folder. Lazy; every query builds its own."""
 
-    def __init__(self, spark: SparkSession, data_dir: str) -> None:
-        self.spark, self.data_dir = spark, data_dir
+    def __init__(self, spark: SparkSession, data_dir: str, raw: DataFrame | None = None) -> None:
+        self.spark, self.data_dir, self._raw = spark, data_dir, raw
         tune(spark)
 
     @functools.cached_property
     def raw(self) -> DataFrame:
-        return inventory_lines(self.spark, self.data_dir)
+        return inventory_lines(self.spark, self.data_dir) if self._raw is None else self._raw
 
     @functools.cached_property
     def cleaned(self) -> DataFrame:
         return cl.clean(self.raw)
 
+    @functools.cached_property
+    def kept(self) -> DataFrame:
+        """The cleaned rows, stored once: the search for class boundaries and the classes read them again."""
+        path = self.scratch("cleaned")
+        write_parquet(self.cleaned, path)
+        return self.spark.read.parquet(path)
+
     @functools.cached_property
     def valued(self) -> DataFrame:
         """Row features without the Pareto class, for reports that do not show it."""
@@ -57,7 +64,7 @@ class Stages:
 
     @functools.cached_property
     def engineered(self) -> DataFrame:
-        return fe.engineer(self.cleaned, AS_OF)
+        return fe.engineer(self.kept, AS_OF)
 
     @functools.cached_property
     def analysis(self) -> DataFrame:
@@ -74,7 +81,7 @@ class Stages:
 
     @functools.cached_property
     def scored(self) -> DataFrame:
-        return sc.score_by_rules(self.cleaned, AS_OF)
+        return sc.score_by_rules(self.kept, AS_OF)
 
     @functools.cached_property
     def advice(self) -> DataFrame:
@@ -123,6 +130,10 @@ def register(name: str, build: Callable[[Stages], DataFrame], sql: str | None =
         _SQL[name] = sql if sql.lstrip().startswith("WITH") else over_stages(sql)
 
 
+def build(name: str, stages: Stages) -> DataFrame:
+    return plain(_QUERIES[name](stages))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def runner(build: Callable[[Stages], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, data_dir: plain(build(Stages(spark, data_dir)))

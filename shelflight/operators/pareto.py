@@ -28,12 +28,12 @@ CLASS_LIMITS = (("A", 80), ("B", 95))
 
 _WIDE = "decimal(38,0)"
 # Values are narrowed down by their leading digits. Three digits give below 50,000 prefixes of at most 26 digits in
-# all, and each prefix has at most 100,000 of five digits more; 18 digits are the whole of an amount below 1e14.
-_LEVELS = (3, 8, 13, 18)
+# all, and each prefix has at most a million of six digits more; 15 digits are the whole of an amount below 1e11.
+_LEVELS = (3, 9, 15)
 # For prefix sums over all values: at most about 2 million prefixes.
 _MIDDLE = 5
-# Key hashes are narrowed down by four digits, 65,536 groups, and by four more.
-_HASH_DIGITS = 4
+# Key hashes are narrowed down by five digits: a million groups, so that 10^11 lines of one value leave 100,000.
+_HASH_DIGITS = 5
 # Rows that share value and key are dealt to so many parts.
 _SHARES = 4096
 
@@ -94,13 +94,10 @@ def _boundaries(rows: DataFrame) -> DataFrame:
 
     tied = rows.join(F.broadcast(found.select("limit", "u")), "u").withColumn("h", F.md5("k"))
     weight = F.sum(F.col("u").cast("decimal(28,0)")).cast(_WIDE).alias("s")
-    for digits in (_HASH_DIGITS, 2 * _HASH_DIGITS):
-        start = F.left("h", F.lit(digits))
-        inside = tied.groupBy("limit", "u", start.alias("hp")).agg(weight).join(F.broadcast(found), ["limit", "u"])
-        found = _narrow(inside, [F.col("hp").asc()], ["u", "hp"])
-        tied = tied.withColumn("hp", start).join(F.broadcast(found.select("limit", "u", "hp")), ["limit", "u", "hp"]).drop("hp")
-        found = found.drop("hp")
-    last = tied.groupBy("limit", "u", "h", "k").agg(weight).join(F.broadcast(found), ["limit", "u"])
+    tied = tied.withColumn("hp", F.left("h", F.lit(_HASH_DIGITS)))
+    inside = tied.groupBy("limit", "u", "hp").agg(weight).join(F.broadcast(found), ["limit", "u"])
+    found = _narrow(inside, [F.col("hp").asc()], ["u", "hp"])
+    last = tied.join(F.broadcast(found), ["limit", "u", "hp"]).groupBy("limit", "total", "base", "u", "h", "k").agg(weight)
     return _narrow(last, [F.col("h").asc(), F.col("k").asc()], ["u", "h", "k"])
 
 
@@ -148,7 +145,7 @@ def running_share(df: DataFrame, value: str, key: str) -> DataFrame:
     """Add `Running_Value` and `Running_Share`, inclusive of the row itself.
 
     Rows are ranked among those of equal value and key hash prefix, so a value
-    that a third of all rows hold is spread over 65,536 groups. Rows that share
+    that a third of all rows hold is spread over a million groups. Rows that share
     key and value, whose order is free, are dealt to parts first, so a key that a
     third of all rows hold is spread as well. Pass only the columns wanted: all of
     them are checkpointed, because the sums and the rows both start from them.
