@@ -6,14 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import catalog, compare
+from checks.inventory_view import AS_OF, inventory_lines
 from shelflight.operators import analytics as an
 from shelflight.operators import cleaning as cl
 from shelflight.operators.features import demand_level, inventory_health, stock_status
 from shelflight.operators.recommend import impact_summary, recommend
 from shelflight.operators.scoring import score_kpis
 from shelflight.operators.splits import split
+from shelflight.operators.training import Models, require_columns
 from shelflight.plans.stages import execute_run
-from checks.inventory_view import AS_OF, inventory_lines
 from shelflight.streaming.live import live_recommendations, write_live
 
 DATA = "/root/testdata/sf0.001"
@@ -114,6 +115,8 @@ def test_a_whole_run(spark, tmp_path):
     assert run.cleaned.count() == 5076
     assert run.summary.first().Products_Analysed == run.scored.select("Product_ID").distinct().count()
     published = spark.read.parquet(str(tmp_path / "run/published/recommendations"))
+    shown = [c for c in published.columns if c in run.recommendations.columns]
+    assert published.select(*shown).exceptAll(run.recommendations.select(*shown)).count() == 0
     assert published.count() == run.recommendations.count()
 
 
@@ -123,8 +126,33 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     stream = spark.readStream.schema(lines.schema).parquet(str(tmp_path / "in"))
     query = write_live(live_recommendations(stream, AS_OF), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(120)
-    expected = catalog.Stages(spark, DATA).advice
-    assert spark.read.parquet(str(tmp_path / "out")).count() == expected.count()
+    expected, got = catalog.Stages(spark, DATA).advice, spark.read.parquet(str(tmp_path / "out"))
+    assert expected.exceptAll(got.select(*expected.columns)).count() == 0 and got.count() == expected.count()
+
+
+def test_models_need_their_columns_and_files(spark, tmp_path):
+    with pytest.raises(ValueError, match="missing model features.*'b'"):
+        require_columns(spark.createDataFrame([(1,)], "a int"), ["a", "b"])
+    with pytest.raises(FileNotFoundError, match="expiry.*demand.*revenue.*segment"):
+        Models.load(str(tmp_path / "nowhere"))
+
+
+def test_correlations_of_large_means_and_odd_values(spark):
+    generator = np.random.default_rng(3)
+    x = generator.normal(size=400)
+    y = x + generator.normal(size=400)
+    rows = [(float(1e8 + 5 * a), float(1.7e9 + b), float("nan") if i % 9 == 0 else float(a), 2.5) for i, (a, b) in enumerate(zip(x, y))]
+    found = {(r.a, r.b): r["corr"] for r in an.correlations(spark.createDataFrame(rows, "p double, q double, z double, c double")).collect()}
+    assert found["p", "q"] == pytest.approx(np.corrcoef([r[0] for r in rows], [r[1] for r in rows])[0, 1], abs=1e-6)
+    some = [i for i in range(400) if i % 9]
+    assert found["p", "z"] == pytest.approx(np.corrcoef([rows[i][0] for i in some], [rows[i][2] for i in some])[0, 1], abs=1e-6)
+    assert found["c", "c"] is None and found["p", "c"] is None and found["q", "q"] == 1.0
+
+
+def test_crosstab_counts_every_risk(spark):
+    rows = [("a", "No Risk")] * 3 + [("b", "High"), ("b", "Low"), (None, "High"), ("a", None)]
+    table = an.risk_crosstab(spark.createDataFrame(rows, "Category string, Predicted_Expiry_Risk string"), n=1).collect()
+    assert [tuple(r) for r in table] == [("a", 0, 0, 0, 3)]
 
 
 @pytest.mark.parametrize("name", ["cleaned_inventory", "cleaning_audit", "executive_categories", "recommendations",

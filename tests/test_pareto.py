@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelflight.functions import to_units
+from shelflight.operators import pareto
 from shelflight.operators.pareto import abc_class, running_share
 
 
@@ -75,3 +76,27 @@ def test_no_plan_step_gathers_the_rows(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("k"), F.col("id").cast("double").alias("v"))
     plan = abc_class(df, "v", "k", "C")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan and "Python" not in plan
+    rows = df.select(to_units(F.col("v")).alias("u"), "k")
+    steps = pareto._boundaries(rows)._jdf.queryExecution().optimizedPlan().toString()
+    # Windows run over groups per limit and over the total of the first prefixes, never over rows.
+    assert "Window" in steps and "Aggregate" in steps and "Python" not in steps
+
+
+def test_one_value_without_keys_is_spread(spark):
+    """All rows share value and key: no task of the ranking holds them all."""
+    df = spark.range(20_000, numPartitions=4).select(F.lit(None).cast("string").alias("k"), F.lit(5.0).alias("v"), "id")
+    ranked = running_share(df, "v", "k")
+    held = ranked.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert held < 10_000
+    assert sorted(r["Running_Value"] for r in ranked.collect()) == [5.0 * (i + 1) for i in range(20_000)]
+
+
+def test_a_total_below_zero_gets_the_given_class(spark):
+    df = spark.createDataFrame([("a", -5.0), ("b", 2.0)], "k string, v double")
+    assert {r["ABC_Category"] for r in abc_class(df, "v", "k", "A", "A").collect()} == {"A"}
+    assert {r["k"]: r["ABC_Category"] for r in abc_class(df, "v", "k", "A").collect()} == _expected([("a", -5.0), ("b", 2.0)], "A")
+
+
+def test_amounts_without_limit_or_number(spark):
+    values = [("big", 1e15), ("nan", float("nan")), ("inf", float("inf")), ("a", 1.0), ("none", None)]
+    assert _classes(spark, values) == {"big": "C", "nan": "C", "inf": "C", "a": "C", "none": "C"}
