@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.llm.shared import stored, text_or_empty
+from shelflight.llm.shared import may_hold, stored, text_or_empty
 
 
 class DigestIndex:
@@ -81,7 +81,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batches: int = 2) -> DataFr
 def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of `docs` that `deduplicate` keeps, one for each text, with all their columns.
 
-    Joined are only the id and digest of dropped rows. Rows that repeat both doc_id and text are told apart by
+    Only rows whose id may be that of a dropped row are joined with those. Rows that repeat both doc_id and text are told apart by
     a row number whose minimum is aggregated, so they may hold any share of the table. `docs` should be a stored
     table: the numbers follow its files.
     """
@@ -96,7 +96,9 @@ def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
         rows.select("id", "sha", "number").join(repeated, same).groupBy("their_id", "their_sha")
         .agg(F.min("number").alias("first")), "first",
     )
-    kept = rows.join(dropped, same, "left_anti").join(first, same, "left")
+    marked = may_hold(rows, F.col("id"), dropped.select("their_id"))
+    unsure = marked.where("may").join(dropped, same, "left_anti")
+    kept = marked.where("NOT may").unionByName(unsure).join(first, same, "left")
     return kept.where("first IS NULL OR first = number").select("row.*")
 
 

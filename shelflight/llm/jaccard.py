@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelflight.llm.shared import Runs, components, discard, ship, stored, text_or_empty
+from shelflight.llm.shared import Runs, components, discard, may_hold, ship, stored, text_or_empty
 from shelflight.llm.shingles import shingle_numbers, shingle_sets, word_numbers
 from shelflight.llm.token_ids import slices
 
@@ -312,9 +312,9 @@ def similar_pairs(texts: DataFrame, sketch: np.ndarray, size: int, percent: int)
     hubs = packed.groupBy("token").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last")
     facts = [F.expr(f"cast({e} as bigint) as {c}") for c, e in (("n", "shiftright(facts, 32)"), ("rank", "shiftright(facts, 3) & 536870911"), ("l", "facts & 7"))]
     common = stored(packed.join(hubs.select("token", "hub"), "token").select("token", "doc", "hub", *facts), "postings")
-    near = stored(
-        texts.join(common.select(F.col("doc").alias("id")).distinct(), F.col("doc_id") == F.col("id"), "left_semi"), "candidates"
-    )
+    ids = stored(common.select(F.col("doc").alias("id")).distinct(), "candidate-ids")
+    wanted = may_hold(texts, F.col("doc_id"), ids).where("may").drop("may")
+    near = stored(wanted.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "candidates")
     heads = common.where("doc = hub").groupBy(F.col("doc").alias("a")).agg(F.min("n").alias("hub_n"), F.min("l").alias("hub_l"))
     star = (
         common.where("doc <> hub").groupBy(F.col("hub").alias("a"), F.col("doc").alias("b"))
@@ -332,7 +332,7 @@ def similar_pairs(texts: DataFrame, sketch: np.ndarray, size: int, percent: int)
     mixed = stored(tagged.join(apart.select("token", "blocks"), "token"), "mixed-postings")
     met = stored(meetings(mixed, percent), "meetings")
     found = stored(links.unionByName(verify_meetings(met, near, size, percent)), "similar-pairs")
-    discard(common, near, first, links, labels, mixed, met)
+    discard(common, ids, near, first, links, labels, mixed, met)
     return found
 
 
@@ -359,5 +359,6 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` without the documents that are not the smallest id of their group, with all columns."""
     dropped = near_duplicates(docs, size, percent).where("component_id <> doc_id")
     dropped = stored(dropped.select(F.col("doc_id").alias("id")).distinct(), "near-copies")
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(dropped, F.col("row.doc_id") == F.col("id"), "left_anti").select("row.*")
+    rows = may_hold(docs.select(F.struct("*").alias("row")), F.col("row.doc_id").cast("bigint"), dropped)
+    unsure = rows.where("may").join(dropped, F.col("row.doc_id") == F.col("id"), "left_anti")
+    return rows.where("NOT may").unionByName(unsure).select("row.*")

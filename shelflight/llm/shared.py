@@ -74,6 +74,29 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+BITMAP_BITS = 23  # a bitmap of ids takes 1 MB, whatever their number
+
+
+def may_hold(rows: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """`rows` with a column `may`, false only where `key` is surely not in the one column of `ids`.
+
+    Ids are hashed to a bitmap of fixed size, 256 rows of 4 KB, which is broadcast. Rows with long texts are then
+    shuffled only where `may` is true. With very many ids the bitmap fills up and excludes less; results stay.
+    """
+
+    def spot(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(1 << BITMAP_BITS))
+
+    spots = ids.select(spot(F.col(ids.columns[0])).alias("spot"))
+    position = F.col("spot").bitwiseAND(F.lit(32767))
+    bits = spots.groupBy(F.shiftright("spot", 15).alias("bucket")).agg(F.bitmap_construct_agg(position).alias("bits"))
+    bits = stored(bits, "bitmap")
+    byte = F.conv(F.hex(F.substring("bits", (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))
+    placed = rows.withColumn("spot", spot(key)).withColumn("bucket", F.shiftright("spot", 15))
+    return placed.join(F.broadcast(bits), "bucket", "left").withColumn("may", may).drop("bucket", "bits", "spot")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest id that links reach, for every id in `edges` (a, b).
 
