@@ -13,7 +13,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from shelflight.llm import chat, packing, pii, tagger, token_counts, token_ids, warc
+from shelflight.llm import chat, packing, pii, queries, tagger, token_counts, token_ids, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -207,6 +207,18 @@ def test_spans_of_odd_and_no_rows(odd_docs, odd_rows, no_docs):
     assert pii.find_spans(no_docs, pii.train(no_docs)).count() == 0
 
 
+def test_span_query_states_the_base_spans(spark, odd_docs, odd_rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(pii, "train", lambda docs: pii.Detector(None))
+    odd_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op5_pii_tagger(spark, str(tmp_path)).collect()
+    want = []
+    for i, text in odd_rows:
+        spans = sorted(plain_rules(text or ""))
+        joined = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in spans)
+        want.append((i, *(sum(k == n for k, *_ in spans) for n in range(4)), hashlib.sha256(joined.encode()).hexdigest(), joined, 0))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def cheapest(roles):
     """Least cost by trying every legal output sequence state by state."""
     best = {chat.START: 0}
