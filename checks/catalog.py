@@ -1006,44 +1006,6 @@ def _stored_models(s: Stages) -> DataFrame:
 register("impact_summary_by_stored_models", _stored_models)
 
 
-def _kpis_of_predictions(s: Stages) -> DataFrame:
-    """Rows scored by the models, and how many of them break the rules that KPIs and bounds follow from predictions."""
-    path = s.scratch("model-scores")
-    write_parquet(tr.score_by_models(s.kept, s.models, AS_OF), path)
-    rows = s.spark.read.parquet(path)
-    rows.createOrReplaceTempView("model_scores")
-    return s.spark.sql("""
-      SELECT count(*) AS scored_rows, count_if(NOT coalesce(at_risk_ok AND health_ok AND bounds_ok, false)) AS broken_rows FROM (
-        SELECT CASE WHEN Predicted_Expiry_Risk IN ('High', 'Medium') THEN abs(Predicted_Revenue_at_Risk - Stock_Quantity * Selling_Price) <= 0.0051
-            ELSE Predicted_Revenue_at_Risk = 0 END AS at_risk_ok,
-          Predicted_Inventory_Health = greatest(0, 100
-            - if(Stock_Quantity <= Min_Stock_Level OR Stock_Quantity >= Max_Stock_Level, 20, 0)
-            - CASE Predicted_Expiry_Risk WHEN 'High' THEN 40 WHEN 'Medium' THEN 20 ELSE 0 END
-            - if(Predicted_Sales_Velocity * 365 / (Stock_Quantity + 1) < 1, 10, 0)) AS health_ok,
-          Predicted_Sales_Velocity >= 0 AND Predicted_Revenue >= 0 AND Predicted_Cluster BETWEEN 0 AND 3
-            AND Predicted_Expiry_Risk IN ('High', 'Medium', 'Low') AS bounds_ok
-        FROM model_scores)""")
-
-
-register(
-    "kpis_of_model_predictions", _kpis_of_predictions,
-    over_stages("SELECT count(*) AS scored_rows, CAST(0 AS BIGINT) AS broken_rows FROM cleaned"),
-)
-
-
-def _loaded_against_fitted(s: Stages) -> DataFrame:
-    """Rows on which stored and loaded models answer otherwise than the fitted ones."""
-    folder = s.scratch("models")
-    s.models.save(folder)
-    shown = ["Batch_No", "Predicted_Expiry_Risk", "Predicted_Sales_Velocity", "Predicted_Revenue", "Predicted_Cluster"]
-    fitted, loaded = (tr.score_by_models(s.kept, m, AS_OF).select(*shown) for m in (s.models, tr.Models.load(folder)))
-    differ = fitted.exceptAll(loaded).unionByName(loaded.exceptAll(fitted))
-    return differ.agg(F.count(F.lit(1)).alias("different_rows"))
-
-
-register("loaded_models_answer_alike", _loaded_against_fitted, "SELECT CAST(0 AS BIGINT) AS different_rows")
-
-
 def _published_round_trip(s: Stages) -> DataFrame:
     """The four published tables written to a folder and read back: rows, and rows that changed."""
     tables, out = published_tables(s.valued.withColumn("ABC_Category", F.lit("C")), s.guessed, s.advice, LOADED_AT), None
