@@ -1,13 +1,15 @@
 """Personal data in texts: rules, and a character tagger that finds what is written in other ways.
 
 The tagger learns from the spans that the rules find in a bounded sample of documents, and from copies of them
-rewritten as people disguise such data. Texts are read in overlapping windows; the spans of all windows of a text
-are reconciled at once. A span of the tagger only counts with the digits, parts or checksum of its kind.
+rewritten as people disguise such data. Texts are read in overlapping windows; a span that every window
+cuts is read again in a window around it, wide enough to hold it; the spans of all windows of a text are reconciled at
+once. A span of the tagger only counts with the digits, parts or checksum of its kind.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -98,9 +100,9 @@ def windows_of(text: str) -> list[int]:
     return sorted({w * STRIDE for a, b in zip(first, last, strict=True) for w in range(a, b + 1)})
 
 
-def window_codes(codes: np.ndarray, start: int) -> np.ndarray:
-    part = codes[start : start + WINDOW]
-    return np.concatenate([part, np.full(WINDOW - len(part), OTHER)])
+def window_codes(codes: np.ndarray, start: int, size: int = WINDOW) -> np.ndarray:
+    part = codes[start : start + size]
+    return np.concatenate([part, np.full(size - len(part), OTHER)])
 
 
 def allowed_steps() -> np.ndarray:
@@ -141,6 +143,38 @@ def plausible(kind: int, text: str) -> bool:
     return 9 <= len(digits) <= 15 and bool(re.fullmatch(r"\+?[0-9(][0-9 ().-]+[0-9]", text)) and len(re.findall(r"[ ().-]+", text)) >= 2
 
 
+_EMAIL_PIECE = re.compile(r"(?:[A-Za-z0-9._%+-]*[ \[(]*@)?[ \])]*[A-Za-z0-9.-]*|[A-Za-z0-9._%+-]*[ \[(]*")
+
+
+def may_grow(kind: int, piece: str) -> bool:
+    """Whether any text around this piece can make a plausible span of it."""
+    digits = _digits(piece)
+    if kind == 0:
+        return bool(_EMAIL_PIECE.fullmatch(piece))
+    if kind == 1:
+        parts = re.findall("[0-9]+", piece)
+        return len(parts) <= 4 and all(len(p) <= 3 for p in parts) and not re.search("[A-Za-z@+]", piece)
+    if kind == 2:
+        return len(digits) <= 19 and bool(re.fullmatch(r"[0-9 ./-]*", piece))
+    return len(digits) <= 15 and bool(re.fullmatch(r"\+?[0-9 ().-]*", piece))
+
+
+Region = tuple[int, int, int, int]
+
+
+def merged(regions: list[Region]) -> list[Region]:
+    """(text, start, end, size of the window to read) with regions that meet or touch taken together."""
+    out: list[Region] = []
+    for i, start, end, size in sorted(regions):
+        if out and out[-1][0] == i and start <= out[-1][2]:
+            _, start, before, wide = out.pop()
+            end, size = max(before, end), max(wide, size)
+        while size < end - start + WINDOW:
+            size *= 2
+        out.append((i, start, end, size))
+    return out
+
+
 @dataclasses.dataclass
 class Detector:
     """The rules, with a trained tagger or without one (no labelled spans to learn from)."""
@@ -153,30 +187,87 @@ class Detector:
         base = [rule_spans(t) for t in texts]
         more: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
         if self.tagger is not None:
-            places = [(i, w) for i, t in enumerate(texts) for w in windows_of(t)]
-            codes = {i: codes_of(texts[i]) for i in {i for i, _ in places}}
-            for at in range(0, len(places), 512):
-                some = places[at : at + 512]
-                tags, share = self.tagger.decode(np.stack([window_codes(codes[i], w) for i, w in some]))
-                for (i, w), row, sure in zip(some, tags, share, strict=True):
-                    more[i] += self._window_spans(texts[i], w, row, sure)
+            places = [(i, w, WINDOW) for i, t in enumerate(texts) for w in windows_of(t)]
+            codes = {i: codes_of(texts[i]) for i in {i for i, *_ in places}}
+            whole: dict[int, list[tuple[int, int]]] = {}
+            cut: dict[int, list[tuple[int, int]]] = {}
+            for (i, *_), spans in self._read(codes, places):
+                for kind, start, end, sure, torn in spans:
+                    if torn:
+                        if may_grow(kind, texts[i][start:end]):
+                            cut.setdefault(i, []).append((start, end))
+                        continue
+                    if sure >= self.least:  # a span next to a window's edge may look less sure than it is
+                        whole.setdefault(i, []).append((start, end))
+                        if plausible(kind, texts[i][start:end]):
+                            more[i].append((kind, start, end, sure))
+            regions = [(i, *p, 2 * WINDOW) for i, pieces in cut.items() for p in unseen(pieces, whole.get(i, []), base[i], len(texts[i]))]
+            for i, spans in self._mend(texts, codes, regions).items():
+                held = covered(len(texts[i]), [s[1:3] for s in spans])
+                more[i] = [s for s in more[i] if not held[s[1] : s[2]].any()] + spans
         return [reconcile(b, m) for b, m in zip(base, more, strict=True)]
 
-    def _window_spans(self, text: str, start: int, tags: np.ndarray, share: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        t = 0
-        while t < WINDOW:
-            if not tags[t] % 2:
-                t += 1
-                continue
-            end = t + 1
-            while end < WINDOW and tags[end] == tags[t] + 1:
-                end += 1
-            kind, sure = int(tags[t]) // 2, float(share[t:end].min())
-            # A span at a window's edge may go on; the next window shows it whole.
-            cut = (t == 0 and start > 0) or (end == WINDOW and start + WINDOW < len(text))
-            if not cut and sure >= self.least and plausible(kind, text[start + t : start + end]):
-                yield kind, start + t, start + end, sure
-            t = end
+    def _read(self, codes: dict[int, np.ndarray], places: list[tuple[int, int, int]]) -> Iterator[tuple[tuple[int, int, int], list]]:
+        """Each window (text, start, size) with its tagged spans: kind, start, end, probability, whether an edge cuts it."""
+        for size, group in itertools.groupby(sorted(places, key=lambda p: p[2]), key=lambda p: p[2]):
+            same, rows = list(group), max(1, 512 * WINDOW // size)
+            for at in range(0, len(same), rows):
+                some = same[at : at + rows]
+                tags, share = self.tagger.decode(np.stack([window_codes(codes[i], w, size) for i, w, _ in some]))
+                for place, row, sure in zip(some, tags, share, strict=True):
+                    i, start, _ = place
+                    length = min(size, len(codes[i]) - start)
+                    row = row[:length]
+                    # A window that begins inside a span begins with a further character of its kind.
+                    first = np.flatnonzero((row % 2 == 1) | (row == 0) | (np.arange(length) == 0))
+                    last = np.append(first[1:], length)
+                    spans = []
+                    for a, b in zip(first[row[first] > 0].tolist(), last[row[first] > 0].tolist(), strict=True):
+                        torn = (a == 0 and start > 0) or (b == size and start + size < len(codes[i]))
+                        spans.append(((int(row[a]) - 1) // 2, start + a, start + b, float(sure[a:b].min()), torn))
+                    yield place, spans
+
+    def _mend(self, texts: list[str], codes: dict[int, np.ndarray], regions: list[Region]) -> dict[int, list[tuple[int, int, int, float]]]:
+        """The spans in regions where windows cut them, read in windows around them that widen until none is cut."""
+        found: dict[int, list[tuple[int, int, int, float]]] = {}
+        while regions:
+            asked: dict[tuple[int, int, int], list[Region]] = {}
+            for i, lo, hi, size in merged(regions):
+                asked.setdefault((i, max(0, min((lo + hi - size) // 2, len(codes[i]) - size)), size), []).append((i, lo, hi, size))
+            regions = []
+            for place, spans in self._read(codes, list(asked)):
+                for i, lo, hi, size in asked[place]:
+                    here = [s for s in spans if s[1] < hi and lo < s[2]]
+                    torn = [s for s in here if s[4] and may_grow(s[0], texts[i][s[1] : s[2]])]
+                    if torn:
+                        regions.append((i, min(lo, *(s[1] for s in torn)), max(hi, *(s[2] for s in torn)), 2 * size))
+                        continue
+                    found.setdefault(i, []).extend(
+                        (kind, s, e, sure) for kind, s, e, sure, at_edge in here if not at_edge and sure >= self.least and plausible(kind, texts[i][s:e])
+                    )
+        return found
+
+
+def covered(length: int, spans: Iterable[tuple[int, int]]) -> np.ndarray:
+    """For each position, whether one of the spans holds it."""
+    out = np.zeros(length, dtype=bool)
+    for start, end in spans:
+        out[start:end] = True
+    return out
+
+
+def unseen(pieces: list[tuple[int, int]], whole: list[tuple[int, int]], base: list[Span], length: int) -> list[tuple[int, int]]:
+    """The cut pieces that meet no base span and that no window shows as part of a whole, sure span."""
+    held = covered(length, [s[1:] for s in base])
+    ordered = sorted(whole)
+    starts = np.array([s for s, _ in ordered])
+    reach = np.maximum.accumulate([e for _, e in ordered]) if ordered else np.zeros(0)
+    out = []
+    for start, end in pieces:
+        at = int(np.searchsorted(starts, start, side="right"))
+        if not held[start:end].any() and not (at and reach[at - 1] >= end):
+            out.append((start, end))
+    return out
 
 
 def reconcile(base: list[Span], found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, bool, float]]:

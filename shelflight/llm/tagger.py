@@ -126,20 +126,37 @@ class Tagger:
                 self.weights[k] -= pace * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.999**n)) + 1e-8)
         return losses
 
+    def _scores(self, codes: np.ndarray) -> np.ndarray:
+        """The scores of `_emit` step by step, without what the way back needs: windows may be long."""
+        p, out = self.weights, np.split(self.weights["out"], 2)
+        size = len(out[0])
+        scores = np.empty((*codes.shape, len(self.allowed)))
+        scores[:] = p["bias"]
+        steps = range(codes.shape[1])
+        for side, weights, order in (("ahead", out[0], steps), ("back", out[1], reversed(steps))):
+            h = c = np.zeros((len(codes), size))
+            for t in order:
+                z = p[f"{side}_in"][codes[:, t]] + h @ p[f"{side}_rec"]
+                gates = _sigmoid(z[:, : 3 * size])
+                c = gates[:, size : 2 * size] * c + gates[:, :size] * np.tanh(z[:, 3 * size :])
+                h = gates[:, 2 * size :] * np.tanh(c)
+                scores[:, t] += h @ weights
+        return scores
+
     def decode(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags of each row, and the probability of each of them."""
-        scores, _ = self._emit(codes)
-        to, from_, total = self._chain(scores)
-        step = self.weights["step"] + self.allowed
-        best, back = scores[:, 0], np.zeros(scores.shape, dtype=np.int64)
+        """Best tags of each row, and the probability of each of them. Takes about 170 bytes a code with nine tags."""
+        scores, step = self._scores(codes), self.weights["step"] + self.allowed
+        to, back = np.empty_like(scores), np.zeros(scores.shape, dtype=np.int8)
+        to[:, 0] = best = scores[:, 0]
         for t in range(1, codes.shape[1]):
+            to[:, t] = scores[:, t] + _logsum(to[:, t - 1, :, None] + step, 1)
             ways = best[:, :, None] + step
             back[:, t] = ways.argmax(axis=1)
             best = ways.max(axis=1) + scores[:, t]
-        tags = np.empty(codes.shape, dtype=np.int64)
-        tags[:, -1] = best.argmax(axis=1)
-        rows = np.arange(len(codes))
-        for t in reversed(range(1, codes.shape[1])):
-            tags[:, t - 1] = back[rows, t, tags[:, t]]
-        share = np.exp(to + from_ - total[:, None, None])
-        return tags, share[rows[:, None], np.arange(codes.shape[1]), tags]
+        tags, share, rows = np.empty(codes.shape, dtype=np.int8), np.empty(codes.shape), np.arange(len(codes))
+        total, tag, from_ = _logsum(to[:, -1], 1), best.argmax(axis=1), np.zeros_like(best)
+        for t in reversed(range(codes.shape[1])):
+            tags[:, t], share[:, t] = tag, np.exp(to[rows, t, tag] + from_[rows, tag] - total)
+            from_ = _logsum(step + (scores[:, t] + from_)[:, None, :], 2)
+            tag = back[rows, t, tag]
+        return tags, share
