@@ -51,6 +51,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def small(part: str) -> bool:
+    """Whether the digits are a number up to 255; int() refuses thousands of digits, zeros included."""
+    rest = part.lstrip("0")
+    return len(rest) <= 3 and int(rest or "0") <= 255
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -71,7 +77,7 @@ def _emails(text: str) -> Iterator[Span]:
 def rule_spans(text: str) -> list[Span]:
     """(kind, start, end) that the rules find: of each kind leftmost first, without overlap; failed matches go."""
     out = list(_emails(text))
-    out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(small(p) for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         digits = _digits(m[0])
         if 13 <= len(digits) <= 19 and luhn(digits):

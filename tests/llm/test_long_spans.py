@@ -77,3 +77,11 @@ def test_decode_agrees_with_the_trained_scores():
     tags, share = model.decode(codes)
     rows = np.arange(3)[:, None]
     assert np.allclose(share, np.exp(to + from_ - total[:, None, None])[rows, np.arange(17), tags])
+
+
+def test_parts_of_an_ip_may_have_thousands_of_zeros():
+    zeros = "0" * 5000
+    assert pii.rule_spans(f"{zeros}.1.1.1 x") == [(1, 0, 5006)]
+    assert pii.rule_spans(f"1.{zeros}255.1.{zeros}") == [(1, 0, 10_008)]
+    assert pii.rule_spans(f"1.{zeros}256.1.1") == []
+    assert pii.Detector(None).find([f"{zeros}.1.1.1"]) == [[(1, 0, 5006, True, 1.0)]]
