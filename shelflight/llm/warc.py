@@ -25,6 +25,7 @@ from shelflight.llm.shared import scratch, ship, stored
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 
 INDEX_SCHEMA = "page_id bigint, bundle string, record_id string, frame bigint, start bigint, size bigint"
+WRITTEN_SCHEMA = INDEX_SCHEMA + ", digest string"
 RECORD_SCHEMA = "page_id bigint, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, url string, payload binary"
 
 
@@ -95,14 +96,13 @@ def clean_header(value: str) -> str:
     return " ".join(value.split())
 
 
-def warc_record(kind: str, record_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
-    """A response with its payload, or a revisit that holds headers only."""
-    held = payload if kind == "response" else b""
-    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + held
+def warc_record(kind: str, record_id: str, url: str | None, payload: bytes, size: int, digest: str, refers_to: str | None) -> bytes:
+    """A response with its payload, or a revisit that holds headers only, of a payload of `size` bytes."""
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size + payload
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {clean_header(url)}")
-    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}"]
+    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {size}"]
     if refers_to is not None:
         lines += [f"WARC-Refers-To: <{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
@@ -124,12 +124,13 @@ def page_of(record_id: str) -> int | None:
 
 
 def mark_revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """page_id, digest, payload size and the page that a repeated payload refers to; texts stay where they are."""
+    """A row for each page whose payload an other page has: page_id, url, digest, payload size, and that page."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    digests = stored(pages.select("page_id", F.sha1(html).alias("digest"), F.octet_length(html).cast("bigint").alias("n")), "page-digests")
+    digests = stored(pages.select("page_id", "url", F.sha1(html).alias("digest"), F.octet_length(html).cast("bigint").alias("n")), "page-digests")
     groups = digests.where(F.col("n") >= least_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("times"))
     repeated = stored(groups.where("times > 1").drop("times"), "page-groups")
-    return stored(digests.join(repeated, ["digest", "n"]).where("page_id < first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct(), "revisits")
+    found = digests.join(repeated, ["digest", "n"]).where("page_id < first")
+    return stored(found.select("page_id", "url", "digest", "n", F.col("first").alias("refers_to")), "revisits")
 
 
 def write_archives(
@@ -138,7 +139,8 @@ def write_archives(
     """Write a WARC record for every row of `pages` into bundles below `folder`; return the index of records.
 
     Of equal payloads of at least `least_bytes`, the row with the largest page_id is a response and the others
-    revisit it; smaller payloads are responses. Only digests are grouped. Every task writes its bundles under a
+    revisit it; smaller payloads are responses. Only digests and urls are grouped. Responses are written first, so that
+    a revisit names the record of its response (of equal rows, the one with the smallest record_id). Every task writes its bundles under a
     hidden name and then renames them, so what a lost executor leaves behind is never read, and returns the
     places of its records; that index is stored in the folder as well. `folder` may be in any store that pyarrow
     and Spark both know by its URI.
@@ -150,8 +152,8 @@ def write_archives(
     ship(pages.sparkSession)
     revisits = mark_revisits(pages, least_bytes)
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("digest")).join(revisits, ["page_id", "digest"], "left")
     target = f"{folder.rstrip('/')}/bundles"
+    index = f"{folder.rstrip('/')}/index"
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, place = store_of(target)
@@ -163,28 +165,35 @@ def write_archives(
             with store.open_output_stream(f"{place}/_{name}.part") as out:
                 out.write(bundle.finish())
             store.move(f"{place}/_{name}.part", f"{place}/{name}")
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            page, record, frame, start, size = [pa.array(x, t) for x, t in zip(zip(*bundle.places, strict=True), kinds, strict=True)]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            page, record, digests, frame, start, size = [pa.array(x, t) for x, t in zip(zip(*bundle.places, strict=True), kinds, strict=True)]
             file = pa.array([f"{target}/{name}"] * len(page), pa.string())
-            return pa.RecordBatch.from_arrays([page, file, record, frame, start, size], names=["page_id", "bundle", "record_id", "frame", "start", "size"])
+            return pa.RecordBatch.from_arrays([page, file, record, frame, start, size, digests], names=["page_id", "bundle", "record_id", "frame", "start", "size", "digest"])
 
         for batch in batches:
-            columns = [batch.column(name) for name in ("page_id", "url", "html", "digest", "refers_to")]
+            columns = [batch.column(name) for name in ("page_id", "url", "html", "n", "digest", "refers_to")]
             for i in range(batch.num_rows):
-                page, url, html, digest, refers = (c[i].as_py() for c in columns)
+                page, url, html, n, digest, refers_to = (c[i].as_py() for c in columns)
                 record_id = f"urn:page:{'none' if page is None else page}:{run}-{serial}-{len(bundle.places)}"
-                refers_to = None if refers is None else f"urn:page:{refers}"
-                kind = "response" if refers is None else "revisit"
-                bundle.add((page, record_id), warc_record(kind, record_id, url, html.encode(), digest, refers_to))
+                kind = "response" if refers_to is None else "revisit"
+                bundle.add((page, record_id, digest), warc_record(kind, record_id, url, html.encode(), n, digest, refers_to))
                 if bundle.size() >= bundle_bytes:
                     yield close()
                     bundle, serial = Bundle(frame_bytes), serial + 1
         if bundle.places:
             yield close()
 
-    index = rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(write, INDEX_SCHEMA)
-    index.write.parquet(f"{folder.rstrip('/')}/index")
-    return pages.sparkSession.read.schema(INDEX_SCHEMA).parquet(f"{folder.rstrip('/')}/index")
+    def add(rows: DataFrame) -> None:
+        rows.select("page_id", "url", "html", "n", "digest", "refers_to").mapInArrow(write, WRITTEN_SCHEMA).write.mode("append").parquet(index)
+
+    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).cast("bigint").alias("n"))
+    responses = rows.join(revisits.select("page_id", "digest").distinct(), ["page_id", "digest"], "left_anti")
+    add(responses.withColumn("refers_to", F.lit(None).cast("string")))
+    wanted = revisits.select(F.col("refers_to").alias("page_id"), "digest").distinct()
+    written = pages.sparkSession.read.schema(WRITTEN_SCHEMA).parquet(index).join(wanted, ["page_id", "digest"], "left_semi")
+    names = stored(written.groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.min("record_id").alias("name")), "response-names")
+    add(revisits.join(names, ["refers_to", "digest"]).select("page_id", "url", F.lit("").alias("html"), "n", "digest", F.col("name").alias("refers_to")))
+    return pages.sparkSession.read.schema(INDEX_SCHEMA).parquet(index)
 
 
 def read_archives(index: DataFrame, columns: list[str] | None = None) -> DataFrame:
