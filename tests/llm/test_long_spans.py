@@ -1,12 +1,13 @@
 """Spans that are longer than what two windows share."""
 
+import hashlib
 import random
 import re
 
 import numpy as np
 import pytest
 
-from shelflight.llm import pii, tagger
+from shelflight.llm import pii, queries, tagger
 
 
 class Reader:
@@ -85,3 +86,26 @@ def test_parts_of_an_ip_may_have_thousands_of_zeros():
     assert pii.rule_spans(f"1.{zeros}255.1.{zeros}") == [(1, 0, 10_008)]
     assert pii.rule_spans(f"1.{zeros}256.1.1") == []
     assert pii.Detector(None).find([f"{zeros}.1.1.1"]) == [[(1, 0, 5006, True, 1.0)]]
+
+
+def test_span_query_with_a_trained_tagger(spark, tmp_path):
+    draw, rows = random.Random(8), []
+    for i in range(150):
+        base = draw.choice([f"jo{i}.doe@mail{i % 9}.example.com", f"10.{i}.{i % 7}.{i % 250}", f"+1 ({200 + i}) 555-{1000 + i}", "4111 1111 1111 1111" if i % 2 else "5500005555555559"])
+        rows.append((i, f"{'some words ' * (i % 5)}here {base} and {'more text ' * (i % 4)}in {1900 + i}."))
+    disguised_ones = ["jo7.doe @ mail3.example.com", "(321) 555-1234", "10 . 2 . 3 . 4", "4111.1111.1111.1111"]
+    hidden = {1000 + i: f"some words here {d} and more text in 1950." for i, d in enumerate(disguised_ones)}
+    rows += [*hidden.items(), (2000, None), (2001, ""), (2002, "no digits")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op5_pii_tagger(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    added = 0
+    for i, text in rows:
+        base = [f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in sorted(pii.rule_spans(text or ""))]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        spans = got[i]["spans"].split(",") if got[i]["spans"] else []
+        assert set(base) <= set(spans) and got[i]["n_added"] == len(spans) - len(base)
+        assert sum(got[i][f"n_{kind}"] for kind in pii.KINDS) == len(base)
+        if i in hidden:
+            added += any(span.endswith(f":16:{text.index(' and')}") for span in spans)
+    assert added >= 1
