@@ -48,17 +48,21 @@ def text_digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.sha2(text_or_empty(), 256)).alias("digest"))
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex, batches: int = 2) -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
     """One row per document: which row of its equal texts stays.
 
     The whole texts are read once, for their digests; only (doc_id, digest) is stored and moved. The table is
     absorbed in `batches` ranges of falling doc_id, each joined against what the index holds by then, so the
     largest doc_id of equal texts is the one indexed. A document whose text an earlier run has indexed is dropped.
+    Without `index` a new one serves this table alone and is dropped.
 
     Returns doc_id, keep_id, group_size (long, in this table), kept, text_sha256. Null text counts as empty. A null
     doc_id stays only if no equal text has an id; of rows that share text and doc_id all have the same result,
     which `keep_rows` resolves to one row. An empty table gives no rows. Other columns are not looked at.
     """
+    own = index is None
+    if own:
+        index = new_index(docs.sparkSession)
     digests = stored(text_digests(docs), "digests")
     number = F.col("doc_id").cast("double")
     cuts = digests.select(F.percentile_approx(number, [i / batches for i in range(1, batches)], 1000)).first()[0] or []
@@ -72,6 +76,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batches: int = 2) -> DataFr
         index.absorb(part)
     sizes = digests.groupBy("digest").agg(F.count("*").alias("group_size"))
     found = stored(sizes.join(index.rows().hint("merge"), "digest"), "digest-groups")
+    if own:
+        index.drop()
     return digests.join(found, "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),

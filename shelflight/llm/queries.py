@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.llm import chat, cover_tree, digest_index, jaccard, mixing, packing, pii, quality, token_counts, warc
+from shelflight.llm import alignment, chat, cover_tree, digest_index, jaccard, merkle, mixing, packing, pii, quality, token_counts, url_filter, warc
 
 # Target weights of the mixture: the large source counts less than its share, the others follow their number.
 MIXTURE = {"src0": 4.0, **{f"src{i}": 2.0 if i < 5 else 1.0 for i in range(1, 20)}}
 MIXTURE_REST = 1.0
 MIXTURE_SEED = 17
+# Hosts and paths of the rules for URLs.
+URL_RULES = (
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,7 +38,7 @@ def op3_chat_repair(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return digest_index.deduplicate(table(spark, folder, "documents"), digest_index.new_index(spark))
+    return digest_index.deduplicate(table(spark, folder, "documents"))
 
 
 def op5_pii_tagger(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,10 +81,26 @@ def op10_warc_bundles(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(index, ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest"])
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    proofs = merkle.check_documents(table(spark, folder, "documents"))
+    return proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align_documents(table(spark, folder, "documents"), *paths, {"groups_sha256": digest})
+
+
+def op13_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, folder, "pages"), rules)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_quality_classifier, op2_source_mixture, op3_chat_repair, op4_exact_dedup, op5_pii_tagger, op6_token_counts,
-        op7_cover_tree_links, op8_packing, op9_jaccard_join, op10_warc_bundles,
+        op7_cover_tree_links, op8_packing, op9_jaccard_join, op10_warc_bundles, op11_merkle_manifest, op12_token_alignment, op13_url_filter,
     ]
     return {query.__name__: query for query in found}
 
@@ -115,6 +135,82 @@ SELECT *, ('0x' || substr(md5('{MIXTURE_SEED}:' || coalesce(doc_id::VARCHAR, 'nu
 FROM copied"""
 
 
+# Unsigned crc32 of the decimal doc_id, byte by byte and bit by bit.
+_CRC32 = """xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, [ord(c)::UBIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)::UBIGINT[]),
+        lambda acc, bit: CASE WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384::UBIGINT) ELSE acc >> 1 END)))"""
+
+
+def _merkle_sql(levels: int = 12) -> str:
+    """`levels` bounds the depth of a tree: 8 ** levels leaves."""
+
+    def framed(column: str) -> str:
+        return f"coalesce(strlen({column}::VARCHAR) || ':' || ({column}::VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(framed, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    def tree(name: str, base: str) -> str:
+        """Nodes by level, and the children of each node, over `base` (tree, rank, n, h)."""
+        steps = [f"{name}0 AS MATERIALIZED (SELECT tree, rank AS r, n, h FROM {base})"]
+        for i in range(levels):
+            steps.append(f"{name}c{i} AS MATERIALIZED (SELECT tree, r // 8 AS r, n, list(h ORDER BY r) AS hs FROM {name}{i} GROUP BY tree, r // 8, n)")
+            folded = f"CASE WHEN n > {8**i} THEN sha256(array_to_string(hs, '')) ELSE hs[1] END"
+            steps.append(f"{name}{i + 1} AS MATERIALIZED (SELECT tree, r, n, {folded} AS h FROM {name}c{i})")
+        return ",\n".join(steps)
+
+    def climb(name: str, source: str, base: str) -> str:
+        """`so_far` (the digest up to here) and `path` (all siblings) climb the tree from `rank` of the rows in `base`."""
+        steps, before = [], base
+        for i in range(levels):
+            d = f"(rank // {8**i}) % 8"
+            left, right = f"array_to_string(hs[1:{d}], '')", f"array_to_string(hs[{d} + 2:], '')"
+            steps.append(f"""{name}{i} AS (
+    SELECT x.* EXCLUDE (so_far, path), CASE WHEN x.n > {8**i} THEN sha256({left} || so_far || {right}) ELSE so_far END AS so_far,
+        CASE WHEN x.n > {8**i} THEN path || {left} || {right} ELSE path END AS path
+    FROM {before} x JOIN {source}c{i} c ON x.tree = c.tree AND x.rank // {8 ** (i + 1)} = c.r)""")
+            before = f"{name}{i}"
+        return ",\n".join(steps)
+
+    return f"""
+WITH leaves AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf("text")} AS h,
+        CASE WHEN {_CRC32} % 3 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS forged
+    FROM documents
+),
+ranks AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS rank, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+),
+{tree("t", "ranks")},
+subroots AS MATERIALIZED (SELECT '' AS tree, tree AS lang, row_number() OVER (ORDER BY tree) - 1 AS rank, count(*) OVER () AS n, h FROM t{levels}),
+{tree("s", "subroots")},
+start AS (SELECT *, coalesce(forged, h) AS so_far, '' AS path FROM ranks),
+{climb("u", "t", "start")},
+middle AS (
+    SELECT u.doc_id, u.h AS leaf, b.h AS subroot, u.so_far, u.path, b.tree, b.rank, b.n FROM u{levels - 1} u JOIN subroots b ON u.tree = b.lang
+),
+{climb("v", "s", "middle")}
+SELECT doc_id, leaf, subroot, (SELECT h FROM s{levels}) AS root, sha256(path) AS proof_sha256, so_far AS folded_root, so_far = (SELECT h FROM s{levels}) AS verified
+FROM v{levels - 1}"""
+
+
+def _url_sql() -> str:
+    rules = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+    return rf"""
+WITH rules(h, p, v) AS (VALUES {rules}),
+rests AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+    SELECT page_id, row_number() OVER () AS row, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM rests
+),
+fits AS (
+    SELECT row, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS verdict
+    FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY row
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (row)"""
+
+
 _REACHED = """
 edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
 reached(id, seen) AS (
@@ -127,6 +223,8 @@ groups AS (SELECT id, min(seen) AS component FROM reached GROUP BY id)"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_merkle_manifest": _merkle_sql(),
+        "op13_url_filter": _url_sql(),
         "op2_source_mixture": _mixture_sql(),
         "op4_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

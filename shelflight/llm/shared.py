@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextvars
 import os
 import pathlib
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 
 from shelflight.session import shared_folder
 
-_FOLDERS: list[str] = []
 _SHIPPED: set[str] = set()
 
 
@@ -34,40 +34,63 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+class Scope:
+    """The stored tables and other things that one piece of work made, to be deleted together.
+
+    `with Scope() as scope:` collects what is made inside, on this thread; `clear` deletes it, nothing else. What is
+    made outside of any scope stays until its caller deletes it.
+    """
+
+    def __init__(self) -> None:
+        self.undo: list[Callable[[], None]] = []
+
+    def __enter__(self) -> Scope:
+        self.token = _SCOPE.set(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _SCOPE.reset(self.token)
+
+    def clear(self) -> None:
+        while self.undo:
+            self.undo.pop()()
+
+
+_SCOPE: contextvars.ContextVar[Scope | None] = contextvars.ContextVar("scope", default=None)
+
+
+def undo_later(action: Callable[[], None]) -> None:
+    """Have the scope at work, if any, call `action` when it is cleared."""
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.undo.append(action)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share, below `spark.checkpoint.dir`."""
     folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    _FOLDERS.append(folder)
+    undo_later(lambda: delete_folder(spark, folder))
     return folder
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written once as Parquet and read back: cut lineage, known size, survives lost executors."""
     folder = scratch(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def _drop(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _FOLDERS.remove(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    table._stored_in = folder
+    return table
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more."""
-    for df in tables:
-        file = next(iter(df.inputFiles()), "")
-        for folder in [f for f in _FOLDERS if f"/{f.rsplit('/', 1)[-1]}/" in file]:
-            _drop(df.sparkSession, folder)
-
-
-def release(spark: SparkSession, *results: DataFrame) -> None:
-    """Delete every stored table of this process but those that `results` read. For when results are written."""
-    read = [file for df in results for file in df.inputFiles()]
-    for folder in list(_FOLDERS):
-        if not any(f"/{folder.rsplit('/', 1)[-1]}/" in file for file in read):
-            _drop(spark, folder)
+    """Delete tables that `stored` returned and that nothing reads any more."""
+    for table in tables:
+        delete_folder(table.sparkSession, table._stored_in)
 
 
 def text_or_empty(name: str = "text") -> Column:
