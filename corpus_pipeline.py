@@ -17,7 +17,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
-    return digest_index.keep_rows(docs, digest_index.deduplicate(docs, digest_index.new_index(spark)))
+    return digest_index.keep_rows(docs, digest_index.deduplicate(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is stored as Parquet and is the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`; each result is stored as Parquet and is the next one's input.
+
+    What a stage stored on its way, and the result before, is deleted once its own result is stored; tables that
+    others stored in this session stay. An empty table gives no rows; the stages' functions say what becomes of nulls.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = shared.stored(stage(spark, docs, sf_dir), name)
-        shared.release(spark, docs)
+        with shared.Scope() as scope:
+            result = stage(spark, docs, sf_dir)
+        docs = shared.stored(result, name)
+        scope.clear()
+        if last is not None:
+            shared.discard(last)
+        last = docs
     return docs
