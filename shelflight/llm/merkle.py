@@ -15,6 +15,7 @@ import dataclasses
 import hashlib
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,7 +104,7 @@ def _descend_pack(key: tuple, rows: pa.Table) -> pa.Table:
     columns = {c: rows.column(c).to_pylist() for c in ("digest", "children", "path")}
     store = {d: c for d, c in zip(columns["digest"], columns["children"], strict=True) if c is not None}
     entry = next(i for i, path in enumerate(columns["path"]) if path is not None)
-    asked = rows.filter(pa.compute.is_valid(rows.column("rank")))
+    asked = rows.filter(pc.is_valid(rows.column("rank")))
     digests, paths = [], []
     for rank, n in zip(asked.column("rank").to_pylist(), asked.column("n").to_pylist(), strict=True):
         digest, segments = columns["digest"][entry], []
