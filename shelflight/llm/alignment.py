@@ -1,27 +1,32 @@
 """Align the token ids of two tokenizers over the same texts, and count which ids go together.
 
-The ends of a text's tokens, as byte offsets, are put in one dictionary from end to index for each tokenizer. The ends
+The ends of the tokens, as byte offsets, are put in one dictionary from end to index for each tokenizer. The ends
 that both dictionaries hold cut both id lists into groups. Every id of one side of a group is linked with every id of
 the other.
+
+Neither tokenizer joins a character that is no white space with a space after it, so both have an end there: a text's
+alignment is that of its words, one after another. Each different word is aligned once and remembered.
 """
 
 from __future__ import annotations
 
+import bisect
 import collections
 import itertools
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelflight.llm.shared import ship, stored
+from shelflight.llm.shared import CACHES, ship, stored, tidy
 from shelflight.llm.token_ids import slices
 
-SLICE = 4 << 20
+SLICE = 2 << 20
+LONG = 4_096  # links of a group from which they are counted by distinct ids
 SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed: the split of byte-level BPE
 FREQUENT = 20  # at most 2^20 pairs are broadcast: those that more than a 2^20th of all (document, pair) rows have
 
@@ -33,6 +38,17 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def sizes_of(spell: dict[int, bytes]) -> np.ndarray:
+    sizes = np.zeros(max(spell) + 1, np.int64)
+    sizes[list(spell)] = list(map(len, spell.values()))
+    return sizes
+
+
+def joiner(spell: dict[int, bytes]) -> Callable[[list[int]], bytes]:
+    one = spell.__getitem__
+    return lambda ids: b"".join(map(one, ids))
+
+
 class ByteTokenizer:
     """Byte-level BPE from a `tokenizers` file, without its special tokens. `spell` has the bytes of every id."""
 
@@ -49,6 +65,7 @@ class ByteTokenizer:
         self.fast = tiktoken.Encoding("ranks", pat_str=SPLITS, mergeable_ranks={b: i for i, b in self.spell.items()}, special_tokens={})
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
+        self.sizes, self.join = sizes_of(self.spell), joiner(self.spell)
 
     def encode(self, text: str) -> list[int]:
         # The fast one splits by a pattern that gives up on runs of very many blanks.
@@ -58,70 +75,137 @@ class ByteTokenizer:
 
 
 class PieceTokenizer:
-    """BPE over pieces with byte fallback, which puts a space before a text. `spell` has the bytes of every id.
-
-    No piece has a space after another character, so no merge crosses the place before a space: words are encoded
-    apart and remembered. The memory is emptied when it holds `words` entries, which changes no result.
-    """
+    """BPE over pieces with byte fallback, which puts a space before a text. `spell` has the bytes of every id."""
 
     SPACE = "▁"
 
-    def __init__(self, path: str, words: int = 100_000) -> None:
+    def __init__(self, path: str) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.spell = {i: self._bytes(piece) for i, piece in enumerate(pieces)}
+        self.sizes, self.join = sizes_of(self.spell), joiner(self.spell)
+        # No merge crosses the place before a space if no piece has a space after another character.
         self.apart = not any(self.SPACE in piece.lstrip(self.SPACE) for piece in pieces)
-        self.limit, self.known = words, {}
 
     def _bytes(self, piece: str) -> bytes:
         byte = re.fullmatch("<0x([0-9A-F]{2})>", piece)
         return bytes([int(byte[1], 16)]) if byte else piece.replace(self.SPACE, " ").encode()
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of `text`, whose leading space is the one that the tokenizer would put there."""
-        if not self.apart or self.SPACE in text:
-            return self.model.encode(text[1:])
-        words = re.findall(" *[^ ]+| +", text)
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list(set(words))
-            known.update(zip(new, self.model.encode([w[1:] for w in new], num_threads=1), strict=True))
-            known[" "] = [self.model.piece_to_id(self.SPACE)]  # a last space alone: an empty text would get none
-        return list(itertools.chain.from_iterable(map(known.__getitem__, words)))
-
-
-def align(a: list[int], b: list[int], spell_a: dict[int, bytes], spell_b: dict[int, bytes]) -> list[tuple[list[int], list[int]]]:
-    """Groups of ids between the byte offsets where tokens of both lists end."""
-    at_a = dict(zip(itertools.accumulate([len(spell_a[i]) for i in a]), itertools.count(1)))
-    at_b = dict(zip(itertools.accumulate([len(spell_b[i]) for i in b]), itertools.count(1)))
-    groups, first_a, first_b = [], 0, 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        last_a, last_b = at_a[end], at_b[end]
-        groups.append((a[first_a:last_a], b[first_b:last_b]))
-        first_a, first_b = last_a, last_b
-    return groups
-
-
-def links(groups: list[tuple[list[int], list[int]]]) -> dict[int, int]:
-    """How often each pair of ids is linked, as one number of 64 bits for the pair."""
-    single = [x[0] << 32 | y[0] for x, y in groups if len(x) == 1 and len(y) == 1]
-    many = collections.Counter(single)
-    for x, y in groups:
-        if len(x) == 1 and len(y) == 1:
-            continue
-        # By distinct ids, so that a long group costs no more than its pairs.
-        ys = collections.Counter(y).items()
-        for i, times in collections.Counter(x).items():
-            for j, more in ys:
-                many[i << 32 | j] += times * more
+    def encode(self, words: list[str]) -> list[list[int]]:
+        """Ids of words, whose leading space is the one that the tokenizer would put there."""
+        ids = self.model.encode([w[1:] for w in words], num_threads=1)
+        # A space alone: the tokenizer has no ids for an empty text.
+        return [[self.model.piece_to_id(self.SPACE)] if w == " " else x for w, x in zip(words, ids, strict=True)]
+
+
+def common_ends(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """The ends that both lists hold, in order, and how many ids of either side lie up to each."""
+    index_a, index_b = (dict(zip(ends, itertools.count(1))) for ends in (ends_a, ends_b))
+    both = sorted(index_a.keys() & index_b.keys())
+    return both, list(map(index_a.__getitem__, both)), list(map(index_b.__getitem__, both))
+
+
+def groups_text(a: list[int], b: list[int], at_a: list[int], at_b: list[int]) -> list[str]:
+    """Each group as text: the ids of either side joined by commas, with a bar between the sides."""
+    a, b = list(map(str, a)), list(map(str, b))
+    return [
+        f"{a[i]}|{b[k]}" if j - i == 1 == m - k else f"{','.join(a[i:j])}|{','.join(b[k:m])}"
+        for i, j, k, m in zip([0, *at_a], at_a, [0, *at_b], at_b)
+    ]
+
+
+def add(many: dict[int, int], more: dict[int, int]) -> None:
+    for pair, times in more.items():
+        many[pair] = many.get(pair, 0) + times
+
+
+def links(a: list[int], b: list[int]) -> dict[int, int]:
+    """How often each pair of ids of a group is linked, as one number of 64 bits for the pair.
+
+    By distinct ids, so that a long group costs no more than its pairs.
+    """
+    many: dict[int, int] = {}
+    times_b = collections.Counter(b).items()
+    for i, times in collections.Counter(a).items():
+        for j, more in times_b:
+            many[i << 32 | j] = times * more
     return many
 
 
+class Aligner:
+    """Aligns texts word by word. The memory of words is emptied when it holds `words` entries, which changes no result."""
+
+    def __init__(self, path_a: str, path_b: str, words: int = 250_000) -> None:
+        self.one, self.two, self.limit = ByteTokenizer(path_a), PieceTokenizer(path_b), words
+        # Groups as text, pairs as bytes, n_a, n_b, n_groups, and links of long groups; None if the ids do not spell the word.
+        self.known: dict[str, tuple | None] = {}
+
+    def learn(self, words: list[str]) -> None:
+        """Align different words, all in one: both sides have an end where a word ends."""
+        both = list(map(self.one.encode, words)), self.two.encode(words)
+        bytes_of = [word.encode() for word in words]
+        good = []
+        for i, (word, a, b) in enumerate(zip(bytes_of, *both, strict=True)):
+            if self.one.join(a) == word == self.two.join(b):
+                good.append(i)
+            else:
+                self.known[words[i]] = None
+        each = [[ids[i] for i in good] for ids in both]
+        a, b = (np.fromiter(itertools.chain.from_iterable(ids), np.int64) for ids in each)
+        ends = [np.cumsum(side.sizes[ids]).tolist() for side, ids in ((self.one, a), (self.two, b))]
+        common, at_a, at_b = common_ends(*ends)
+        told = groups_text(a.tolist(), b.tolist(), at_a, at_b)
+        begin_a, begin_b = (np.array([0, *at], np.int64) for at in (at_a, at_b))
+        n_a, n_b = np.diff(begin_a), np.diff(begin_b)
+        long = n_a * n_b > LONG
+        many = np.where(long, 0, n_a * n_b)
+        begin = np.cumsum([0, *many])
+        group = np.repeat(np.arange(len(many)), many)
+        within = np.arange(begin[-1]) - begin[group]
+        pairs = a[begin_a[group] + within // n_b[group]] << 32 | b[begin_b[group] + within % n_b[group]]
+        of_word = [0, *np.searchsorted(common, np.cumsum([len(bytes_of[i]) for i in good]), side="right").tolist()]
+        extra: dict[int, dict[int, int]] = {}
+        for g in np.flatnonzero(long).tolist():
+            sides = a[begin_a[g] : begin_a[g + 1]].tolist(), b[begin_b[g] : begin_b[g + 1]].tolist()
+            add(extra.setdefault(bisect.bisect_right(of_word, g) - 1, {}), links(*sides))
+        for k, (i, first, last) in enumerate(zip(good, of_word, of_word[1:], strict=False)):
+            spelt = pairs[begin[first] : begin[last]].tobytes()
+            self.known[words[i]] = (";".join(told[first:last]), spelt, len(both[0][i]), len(both[1][i]), last - first, extra.get(k))
+
+    def texts(self, texts: list[str]) -> list[tuple]:
+        """Groups as text, pairs, times, n_a, n_b and n_groups of each text; nothing where its tokens do not spell it."""
+        split = [_WORDS.findall(" " + t) if self.two.apart else [" " + t] if t else [] for t in texts]
+        split = [words if text and PieceTokenizer.SPACE not in text else [] for text, words in zip(texts, split, strict=True)]
+        used = set(itertools.chain.from_iterable(split))
+        new = [w for w in used if w not in self.known]
+        if len(self.known) + len(new) > self.limit:
+            self.known.clear()
+            new = list(used)
+        if new:
+            self.learn(new)
+        return list(map(self._joined, split))
+
+    def _joined(self, words: list[str]) -> tuple:
+        found = list(map(self.known.__getitem__, words))
+        if not words or None in found:
+            return "", _NONE, _NONE, 0, 0, 0
+        told, pairs, n_a, n_b, n_groups, extra = zip(*found, strict=True)
+        pairs, times = np.unique(np.frombuffer(b"".join(pairs), np.int64), return_counts=True)
+        if any(extra):
+            all_links = dict(zip(pairs.tolist(), times.tolist(), strict=True))
+            for more in filter(None, extra):
+                add(all_links, more)
+            pairs, times = (np.fromiter(x, np.int64, len(all_links)) for x in (all_links.keys(), all_links.values()))
+        return ";".join(told), pairs, times, sum(n_a), sum(n_b), sum(n_groups)
+
+
+_NONE = np.zeros(0, np.int64)
+# From white space up to the next space that follows another character; white space at the end.
+_WORDS = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?|\s+\Z")
+
+
 def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups, pairs and times for every row.
 
@@ -132,33 +216,35 @@ def alignments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"]
-    types = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = ByteTokenizer(path_a), PieceTokenizer(path_b)
-        text_a, text_b = ({i: str(i) for i in t.spell} for t in (one, two))
-
-        def row(doc_id: int | None, text: str) -> tuple:
-            if not text:
-                return (doc_id, 0, 0, 0, 0, "", [], [])
-            whole = " " + text
-            a, b, target = one.encode(whole), two.encode(whole), whole.encode()
-            if b"".join(map(one.spell.__getitem__, a)) != target or b"".join(map(two.spell.__getitem__, b)) != target:
-                return (doc_id, 0, 0, 0, 0, "", [], [])
-            groups = align(a, b, one.spell, two.spell)
-            many = links(groups)
-            told = ";".join([",".join([text_a[i] for i in x]) + "|" + ",".join([text_b[i] for i in y]) for x, y in groups])
-            return (doc_id, len(a), len(b), len(groups), sum(many.values()), told, list(many), list(many.values()))
+    def lists(parts: list[np.ndarray]) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
 
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = aligner_of(path_a, path_b)
         for batch in batches:
             for first, count in slices(batch.column("text"), SLICE):
                 part = batch.slice(first, count)
-                out = list(map(row, part.column("doc_id").to_pylist(), part.column("text").to_pylist()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                told, pairs, times, *counts = zip(*aligner.texts(part.column("text").to_pylist()), strict=True)
+                numbers = [pa.array(x, pa.int64()) for x in (*counts, [int(t.sum()) for t in times])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *numbers, pa.array(told), lists(pairs), lists(times)], names=names)
+        tidy(keep=ALIGNERS)  # the memory of words serves the next task
 
     return rows.mapInArrow(work, "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, pairs array<bigint>, times array<bigint>")
 
 
+ALIGNERS: dict[tuple[str, str], Aligner] = {}
+CACHES.append(ALIGNERS)
+
+
+def aligner_of(path_a: str, path_b: str) -> Aligner:
+    """One aligner per worker process and pair of files."""
+    if (path_a, path_b) not in ALIGNERS:
+        ALIGNERS[path_a, path_b] = Aligner(path_a, path_b)
+    return ALIGNERS[path_a, path_b]
+
+
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """pair, count (documents that hold it) and best (no pair of its first id has a larger count)."""
     counts = stored(aligned.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("count")), "pair-counts")

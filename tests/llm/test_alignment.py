@@ -14,6 +14,7 @@ A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piec
 TEXTS = [
     "Hello world", "  two  spaces\n\nand\ttabs  ", "naïve café — 東京 🙂🙂 ﬁn", "<|endoftext|> <s> plain", "it's 12345.678 isn't", "a", " ", "\x00 zero",
     "x" * 500 + " " * 300 + "y", "word▁piece", "Ünïcödé " * 40, "\u00a0nbsp\u3000wide", "it''s ... !!", "e\u0301 combining",
+    "line\n  next\t tab \n", "\n", "x\x1c y\x85 z\u2003 w", "end \n \n", "a\n", " \u3000 b",
 ]
 
 
@@ -74,13 +75,16 @@ def test_alignment_equals_plain_one(spark, monkeypatch, frequent):
     assert [row for _, row in sorted(aligned(docs))] == expected(texts)
 
 
-def test_words_apart_encode_like_whole_texts():
-    two = alignment.PieceTokenizer(B, words=3)
+def test_words_apart_align_like_whole_texts():
+    aligner = alignment.Aligner(A, B, words=3)
+    assert aligner.two.apart
     for text in TEXTS:
-        assert two.apart and two.encode(" " + text) == two.model.encode(text)
-    one = alignment.ByteTokenizer(A)
-    for text in TEXTS:
-        assert one.encode(" " + text) == one.plain.encode(" " + text, add_special_tokens=False).ids
+        words = alignment._WORDS.findall(" " + text)
+        assert "".join(words) == " " + text
+        if "▁" not in text:
+            assert sum(aligner.two.encode(words), []) == aligner.two.model.encode(text)
+        whole = aligner.one.plain.encode(" " + text, add_special_tokens=False).ids
+        assert sum(map(aligner.one.encode, words), []) == whole == aligner.one.fast.encode_ordinary(" " + text)
 
 
 def test_odd_and_no_rows(odd_docs, no_docs):
@@ -95,5 +99,15 @@ def test_odd_and_no_rows(odd_docs, no_docs):
     assert aligned(no_docs) == []
 
 
-def test_links_of_a_long_group_count_by_distinct_ids():
-    assert alignment.links([([1, 1, 2], [7, 7]), ([1], [7])]) == {1 << 32 | 7: 5, 2 << 32 | 7: 2}
+def test_links_of_a_long_group_count_by_distinct_ids(monkeypatch):
+    assert alignment.links([1, 1, 2], [7, 7]) == {1 << 32 | 7: 4, 2 << 32 | 7: 2}
+    monkeypatch.setattr(alignment, "LONG", 1)
+    texts = [t for t in TEXTS if "▁" not in t]
+    for text, (told, pairs, times, *_) in zip(texts, alignment.Aligner(A, B).texts(texts), strict=True):
+        groups, all_pairs = plain_row(text)
+        assert told == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        assert dict(zip(pairs.tolist(), times.tolist(), strict=True)) == collections.Counter(x << 32 | y for x, y in all_pairs)
+
+
+def test_common_ends():
+    assert alignment.common_ends([2, 3, 4], [1, 3, 4]) == ([3, 4], [2, 3], [2, 3])
