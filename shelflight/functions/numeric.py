@@ -6,13 +6,17 @@ code generation and runs without a Python worker.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Amounts are summed as whole ten-thousandths so that totals do not depend on
 # the order in which tasks deliver their partial sums.
-UNITS_PER_ONE = 10_000
+UNIT_DIGITS = 4
 UNITS = "decimal(26,0)"
+# From here on an amount has no exact units of this size.
+LARGE = 1e22
 
 # Java accepts "12.5d" and "3f" as numbers; spreadsheets do not.
 _JAVA_SUFFIX = r"[0-9.][dDfF]\s*$"
@@ -83,9 +87,24 @@ def decimal_round(value: Column, digits: int) -> Column:
     return whole / F.lit(scale)
 
 
-def to_units(value: Column) -> Column:
-    """A double amount as a whole number of ten-thousandths; NaN, infinity and 1e22 or more are missing."""
-    return F.rint(value * F.lit(float(UNITS_PER_ONE))).try_cast(UNITS)
+def is_amount(value: Column) -> Column:
+    """Neither null nor NaN nor infinite."""
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
+
+
+def digits_for(largest: float | None) -> int:
+    """Decimals of units in which an amount of `largest` still has at most 26 digits; below `LARGE` always 4."""
+    if largest is None or largest < LARGE:
+        return UNIT_DIGITS
+    return 25 - math.floor(math.log10(largest))
+
+
+def to_units(value: Column, digits: int = UNIT_DIGITS) -> Column:
+    """A double amount as a whole number of units of 10 ** -digits, by default ten-thousandths.
+
+    NaN and infinity are missing, and so are amounts of more than 26 digits: see `digits_for`.
+    """
+    return F.rint(value * F.lit(float(f"1e{digits}"))).try_cast(UNITS)
 
 
 def sum_units(value: Column) -> Column:
@@ -93,16 +112,23 @@ def sum_units(value: Column) -> Column:
     return F.sum(to_units(value).cast("decimal(28,0)"))
 
 
-def units_to_amount(units: Column) -> Column:
-    return units.cast("double") / F.lit(float(UNITS_PER_ONE))
+def units_to_amount(units: Column, digits: int = UNIT_DIGITS) -> Column:
+    return units.cast("double") / F.lit(float(f"1e{digits}"))
+
+
+def sum_large(value: Column) -> Column:
+    """Sum, in doubles, of the amounts that have no exact units; 0 without any."""
+    return F.coalesce(F.sum(F.when(is_amount(value) & (F.abs(value) >= LARGE), value)), F.lit(0.0))
 
 
 def exact_sum(value: Column) -> Column:
-    """Order-independent sum of a double column; the sum of nothing is 0."""
-    return F.coalesce(units_to_amount(sum_units(value)), F.lit(0.0))
+    """Order-independent sum of a double column; the sum of nothing is 0.
+
+    Amounts of 1e22 or more are added up apart, as doubles, so that none is lost.
+    """
+    return F.coalesce(units_to_amount(sum_units(value)), F.lit(0.0)) + sum_large(value)
 
 
 def exact_mean(value: Column, digits: int = 6) -> Column:
-    """Mean of the non-null values from the order-independent sum."""
-    total = units_to_amount(sum_units(value))
-    return half_even(F.try_divide(total, F.count(to_units(value))), digits)
+    """Mean of the values, NaN and infinity left out, from the order-independent sum."""
+    return half_even(F.try_divide(exact_sum(value), F.count_if(is_amount(value))), digits)

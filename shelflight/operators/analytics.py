@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelflight.functions import exact_mean, exact_sum, half_even, ratio_or_zero, to_number, year_month
+from shelflight.functions.numeric import is_amount
 from shelflight.operators.filters import expiring_within_a_year, urgent_expiry
 from shelflight.schema import type_names
 
@@ -181,44 +182,49 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c, kind in df.dtypes if kind in kinds and c not in FLAG_COLUMNS]
 
 
+# Pairs of columns of one aggregate: six moments each.
+_PAIRS = 256
+
+
 def correlations(df: DataFrame, columns: Sequence[str] | None = None, digits: int | None = None) -> DataFrame:
     """Pearson matrix in long form (a, b, corr), pairwise complete, in one pass.
 
-    Each row becomes one small row per pair of columns, which merge on the map side: a shuffle moves one row per
-    pair and task. The moments are Spark's own, which are updated around the running means, so large means cost no
-    digits. NaN and infinity are missing. A constant column has no correlation: null.
+    All pairs of columns are aggregates of one grouping, so a row stays one row and a shuffle moves one row of moments
+    per task. Tables so wide that they have more than `_PAIRS` pairs are aggregated in blocks of pairs, one row per
+    block. The moments are Spark's own, which are updated around the running means, so large means cost no digits.
+    NaN and infinity are missing. A constant column has no correlation: null.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
     kinds = type_names(df)
-    infinite = F.lit(float("inf"))
 
     def finite(name: str) -> Column:
         value = F.col(f"`{name}`").cast("double")
-        return value if kinds[name] in _WHOLE else F.when(~F.isnan(value) & (F.abs(value) != infinite), value)
+        return value if kinds[name] in _WHOLE else F.when(is_amount(value), value)
 
     values = df.select(*[finite(c).alias(f"c{k}") for k, c in enumerate(names)])
-    pairs = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("y"))
-        for i in range(len(names)) for j in range(i, len(names))
-    ]
-    merged = (
-        values.select(F.inline(F.array(*pairs))).filter("x is not null and y is not null")
-        .groupBy("i", "j")
-        .agg(F.covar_pop("x", "y").alias("xy"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    )
-    corr = F.try_divide(F.col("xy"), F.col("sx") * F.col("sy"))
-    corr = F.when(F.col("i") == F.col("j"), F.when(F.col("sx") > 0, F.lit(1.0))).otherwise(
-        F.when(corr.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), corr)))
-    )
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    blocks = [pairs[k : k + _PAIRS] for k in range(0, len(pairs), _PAIRS)]
+    if len(blocks) == 1:
+        moments = values.agg(*[F.corr(f"c{i}", f"c{j}").alias(f"m{k}") for k, (i, j) in enumerate(pairs)]).withColumn("block", F.lit(0))
+    else:
+        sides = [F.struct(F.lit(b).alias("block"), *[F.array(*[F.col(f"c{pair[side]}") for pair in block]).alias(name) for side, name in enumerate("xy")])
+                 for b, block in enumerate(blocks)]
+        spread = values.select(F.inline(F.array(*sides)))
+        moments = spread.groupBy("block").agg(*[F.corr(F.get("x", F.lit(k)), F.get("y", F.lit(k))).alias(f"m{k}") for k in range(_PAIRS)])
+    cells = F.posexplode(F.array(*[F.col(f"m{k}") for k in range(len(blocks[0]) if blocks else 0)])).alias("at", "corr")
+    number = F.col("block") * _PAIRS + F.col("at")
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+    corr = F.when(~F.isnan("corr"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("corr"))))
+    corr = F.when(F.col("i") == F.col("j"), F.when(corr.isNotNull(), F.lit(1.0))).otherwise(corr)
     label = F.array(*[F.lit(c) for c in names])
-    value = corr if digits is None else half_even(corr, digits)
-    found = merged.select("i", "j", value.alias("corr"))
-    # Pairs of columns that never hold values together have no row yet.
-    grid = df.sparkSession.range(len(names) ** 2).select(
-        F.floor(F.col("id") / len(names)).cast("int").alias("p"), (F.col("id") % len(names)).cast("int").alias("q")
+    found = (
+        moments.select("block", cells).filter(number < len(pairs))
+        .select(F.get(places, number).alias("place"), "corr").select("place.i", "place.j", "corr")
+        .select("i", "j", (corr if digits is None else half_even(corr, digits)).alias("corr"))
     )
-    keyed = grid.select("p", "q", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
-    return keyed.join(found, ["i", "j"], "left").select(label[F.col("p")].alias("a"), label[F.col("q")].alias("b"), "corr")
+    # The matrix is symmetric: a cell beside the diagonal is two.
+    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return found.select(F.explode(both).alias("place"), "corr").select(F.get(label, F.col("place.i")).alias("a"), F.get(label, F.col("place.j")).alias("b"), "corr")
 
 
 # Executive view of an engineered table

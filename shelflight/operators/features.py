@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelflight.functions import days_until, parse_timestamp, ratio_or_zero, to_number
-from shelflight.operators.pareto import abc_class
+from shelflight.operators.pareto import Boundaries, abc_class
 from shelflight.schema import DATE_COLUMNS, LEGACY_NAMES, LINE_KEY, as_date, type_names
 
 # Fixed values. Coerced to numbers with 0 for what is none. The overstock threshold is text in
@@ -108,10 +108,14 @@ def zero_missing_numbers(df: DataFrame) -> DataFrame:
     return df.withColumns(fixes)
 
 
-def engineer(df: DataFrame, as_of: str | dt.date, key: str = LINE_KEY) -> DataFrame:
-    """All features, the Pareto class included. A table worth nothing is all C."""
-    df = row_features(df, as_of).transform(zero_missing_numbers)
-    return abc_class(df, "Inventory_Value", key, zero_total="C")
+def valued_features(df: DataFrame, as_of: str | dt.date) -> DataFrame:
+    """All features but the Pareto class; row-local."""
+    return row_features(df, as_of).transform(zero_missing_numbers)
+
+
+def engineer(df: DataFrame, as_of: str | dt.date, key: str = LINE_KEY, boundaries: Boundaries | None = None) -> DataFrame:
+    """All features, the Pareto class included. A table worth nothing is all C. Without `boundaries` runs jobs."""
+    return abc_class(valued_features(df, as_of), "Inventory_Value", key, zero_total="C", boundaries=boundaries)
 
 
 def analysis_base(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from shelflight.functions import (
     to_number,
     truncate_to_long,
 )
-from shelflight.functions.numeric import sum_units, units_to_amount
+from shelflight.functions.numeric import sum_large, sum_units, units_to_amount
 from shelflight.operators.features import alias_if_missing
 from shelflight.schema import LEGACY_NAMES, type_names
 
@@ -198,17 +198,20 @@ def impact_summary(df: DataFrame) -> DataFrame:
         rate = F.when(risk_kind == kind, F.lit(share)).otherwise(rate)
     urgent = (risk_kind == "High") | (F.col("Stock_Quantity") <= F.col("Min_Stock_Level"))
     health = F.col("Predicted_Inventory_Health")
+    amounts = {
+        "risk": at_risk, "expected": positive_risk * rate, "recovered": F.least(F.greatest(recovered, F.lit(0.0)), positive_risk),
+    }
     per_product = df.groupBy("Product_ID").agg(
         F.max(urgent).alias("urgent"),
-        sum_units(at_risk).alias("risk"),
-        sum_units(positive_risk * rate).alias("expected"),
-        sum_units(F.least(F.greatest(recovered, F.lit(0.0)), positive_risk)).alias("recovered"),
+        *[sum_units(amount).alias(name) for name, amount in amounts.items()],
+        *[sum_large(amount).alias(f"large_{name}") for name, amount in amounts.items()],
         F.sum(health.cast("bigint")).alias("health"),
         F.count(health).alias("lines"),
     )
 
     def total(name: str) -> Column:
-        return F.coalesce(units_to_amount(F.sum(name)), F.lit(0.0)).alias(name)
+        large = F.coalesce(F.sum(f"large_{name}"), F.lit(0.0))
+        return (F.coalesce(units_to_amount(F.sum(name)), F.lit(0.0)) + large).alias(name)
 
     totals = per_product.agg(
         F.count(F.lit(1)).alias("Products_Analysed"),

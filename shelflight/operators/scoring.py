@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelflight.functions import days_until, half_even, ratio_or_zero, to_number
 from shelflight.operators.features import alias_if_missing, coerce_dates
-from shelflight.operators.pareto import abc_class
+from shelflight.operators.pareto import Boundaries, abc_class
 from shelflight.schema import LEGACY_NAMES, LINE_KEY, as_date, type_names
 
 NO_EXPIRY_DAYS = 9999
@@ -43,9 +43,9 @@ def scoring_inputs(df: DataFrame, as_of: str | dt.date) -> DataFrame:
     )
 
 
-def score_prep(df: DataFrame, as_of: str | dt.date, key: str = LINE_KEY) -> DataFrame:
-    """Scoring inputs plus the Pareto class; a table worth nothing, or less, is all A here."""
-    return abc_class(scoring_inputs(df, as_of), "Inventory_Value", key, zero_total="A", negative_total="A")
+def score_prep(df: DataFrame, as_of: str | dt.date, key: str = LINE_KEY, boundaries: Boundaries | None = None) -> DataFrame:
+    """Scoring inputs plus the Pareto class; a table worth nothing, or less, is all A here. Without `boundaries` runs jobs."""
+    return abc_class(scoring_inputs(df, as_of), "Inventory_Value", key, zero_total="A", negative_total="A", boundaries=boundaries)
 
 
 def rule_predictions(df: DataFrame) -> DataFrame:
@@ -95,5 +95,5 @@ def score_kpis(df: DataFrame) -> DataFrame:
     )
 
 
-def score_by_rules(df: DataFrame, as_of: str | dt.date, key: str = LINE_KEY) -> DataFrame:
-    return df.transform(score_prep, as_of, key).transform(rule_predictions).transform(score_kpis)
+def score_by_rules(df: DataFrame, as_of: str | dt.date, key: str = LINE_KEY, boundaries: Boundaries | None = None) -> DataFrame:
+    return df.transform(score_prep, as_of, key, boundaries).transform(rule_predictions).transform(score_kpis)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from shelflight.functions import half_even, ratio_or_zero
 from shelflight.operators.features import alias_if_missing, coerce_numbers, zero_missing_numbers
 from shelflight.operators.metrics import classification_report, regression_metrics
+from shelflight.operators.pareto import Boundaries
 from shelflight.operators.scoring import predicted_turnover, score_kpis, score_prep, segment_margin
 from shelflight.operators.splits import SEED, split
 from shelflight.schema import LEGACY_NAMES, LINE_KEY
@@ -290,7 +291,7 @@ def apply_models(df: DataFrame, models: Models) -> DataFrame:
     return out.withColumns({c: F.col(copy) for c, copy in recorded.items()}).drop(*recorded.values())
 
 
-def score_by_models(df: DataFrame, models: Models, as_of, key: str = LINE_KEY) -> DataFrame:
-    return df.transform(score_prep, as_of, key).transform(apply_models, models).transform(score_kpis)
+def score_by_models(df: DataFrame, models: Models, as_of, key: str = LINE_KEY, boundaries: Boundaries | None = None) -> DataFrame:
+    return df.transform(score_prep, as_of, key, boundaries).transform(apply_models, models).transform(score_kpis)
 
 

@@ -9,10 +9,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from shelflight.operators.cleaning import clean
-from shelflight.operators.features import engineer
+from shelflight.operators.features import engineer, valued_features
 from shelflight.operators.mapping import Coverage, standardize
+from shelflight.operators.pareto import Boundaries, find_boundaries
 from shelflight.operators.recommend import impact_summary, recommend
-from shelflight.operators.scoring import score_by_rules
+from shelflight.operators.scoring import score_by_rules, scoring_inputs
 from shelflight.operators.training import Models, score_by_models
 from shelflight.schema import LINE_KEY
 from shelflight.sources.publish import publish, published_tables
@@ -32,6 +33,12 @@ class Run:
     report: Coverage | None = None
 
 
+def class_boundaries(cleaned: DataFrame, as_of: str | dt.date, key: str) -> dict[str, Boundaries]:
+    """Class boundaries by the values of the features and by those of the scores, in one search. Runs jobs."""
+    tables = {"features": valued_features(cleaned, as_of), "scores": scoring_inputs(cleaned, as_of)}
+    return find_boundaries({name: (df, "Inventory_Value") for name, df in tables.items()}, key)
+
+
 def plan_run(
     raw: DataFrame,
     as_of: str | dt.date,
@@ -42,18 +49,19 @@ def plan_run(
 ) -> Run:
     """Clean, engineer, score and recommend. Without models the rules score.
 
-    Not lazy throughout: the boundaries of the Pareto class, one search for the features and one for the scores,
-    run jobs over the cleaned rows here. `execute_run` stores the cleaned rows first; with this function, pass `raw`
+    Not lazy throughout: one search for the boundaries of the Pareto class, of features and scores together,
+    runs jobs over the cleaned rows here. `execute_run` stores the cleaned rows first; with this function, pass `raw`
     from a stored table that is cheap to clean again.
     """
     report = None
     if map_columns:
         raw, report = standardize(raw, as_of, overrides)
     cleaned = clean(raw)
-    scored = score_by_models(cleaned, models, as_of, key) if models else score_by_rules(cleaned, as_of, key)
+    found = class_boundaries(cleaned, as_of, key)
+    scored = _score(cleaned, as_of, models, key, found["scores"])
     return Run(
         cleaned=cleaned,
-        engineered=engineer(cleaned, as_of, key),
+        engineered=engineer(cleaned, as_of, key, found["features"]),
         scored=scored,
         recommendations=recommend(scored),
         summary=impact_summary(scored),
@@ -61,6 +69,12 @@ def plan_run(
     )
 
 
+def _score(cleaned: DataFrame, as_of: str | dt.date, models: Models | None, key: str, boundaries: Boundaries) -> DataFrame:
+    if models:
+        return score_by_models(cleaned, models, as_of, key, boundaries)
+    return score_by_rules(cleaned, as_of, key, boundaries)
+
+
 def execute_run(
     raw: DataFrame,
     as_of: str | dt.date,
@@ -87,9 +101,9 @@ def execute_run(
         return spark.read.parquet(f"{out}/{name}")
 
     cleaned = stage("cleaned", clean(raw))
-    engineered = stage("engineered", engineer(cleaned, as_of, key))
-    scored = score_by_models(cleaned, models, as_of, key) if models else score_by_rules(cleaned, as_of, key)
-    scored = stage("scored", scored)
+    found = class_boundaries(cleaned, as_of, key)
+    engineered = stage("engineered", engineer(cleaned, as_of, key, found["features"]))
+    scored = stage("scored", _score(cleaned, as_of, models, key, found["scores"]))
     advice = stage("recommendations", recommend(scored))
     write_csv(advice, f"{out}/recommendations_csv")
     write_summary(impact_summary(scored), f"{out}/summary")

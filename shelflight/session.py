@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution sizes the shuffle partitions, splits skewed joins and turns
 # a join into a broadcast only when the measured size is below the threshold.
@@ -40,3 +42,15 @@ def shared_folder(spark: SparkSession) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once as Parquet, in a new folder below the shared one, and read back.
+
+    Unlike a checkpoint it computes the rows once, and its columns are read as needed. The folder stays until the
+    shared folder is emptied.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
