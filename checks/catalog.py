@@ -7,12 +7,14 @@ import functools
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.sql import mean, over_stages, rounded, total
-from shelflight.functions import normalize_identifier, parse_timestamp
+from shelflight.functions import half_even, normalize_identifier, parse_timestamp
 from shelflight.operators import analytics as an
 from shelflight.operators import cleaning as cl
 from shelflight.operators import features as fe
@@ -22,13 +24,14 @@ from shelflight.operators import recommend as rc
 from shelflight.operators import scoring as sc
 from shelflight.operators import splits as sp
 from shelflight.operators import training as tr
+from shelflight.operators.least_squares import fit_line
 from shelflight.operators.mapping import standardize
 from shelflight.operators.metrics import classification_report, regression_metrics
-from shelflight.operators.pareto import running_share
+from shelflight.operators.pareto import abc_class, running_share
 from shelflight.schema import type_names
-from shelflight.session import shared_folder, tune
+from shelflight.session import shared_folder, tune, written
 from checks.inventory_view import AS_OF, inventory_lines
-from shelflight.sources.publish import conform_table, product_view, publish, published_tables
+from shelflight.sources.publish import conform_table, product_view, publish, published_tables, read_published
 from shelflight.sources.readers import read_csv, read_summary
 from shelflight.sources.writers import write_csv, write_parquet, write_summary
 
@@ -399,6 +402,17 @@ register(
 
 
 
+_FLAGGED = [*_ENGINEERED_NUMBERS[:6], "Category", "Inventory_Value"]
+# The numeric columns are found by their types: neither the text nor the flag takes part.
+register(
+    "correlation_numeric_columns",
+    lambda s: an.correlations(
+        s.valued.select(*_FLAGGED, (F.col("Current_Stock") <= F.col("Reorder_Level")).cast("int").alias("Low_Stock_Flag")), digits=6
+    ),
+    _corr_sql([c for c in _FLAGGED if c != "Category"], 6, "healthy"),
+)
+
+
 def _large_means(s: Stages) -> DataFrame:
     lines = s.spark.read.parquet(f"{s.data_dir}/lineitem.parquet")
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date"))
@@ -439,6 +453,33 @@ register(
 )
 
 
+def _beyond_units(s: Stages) -> DataFrame:
+    """Lines of which one in fifty has an amount of 1e25, which has no ten-thousandths in 26 digits."""
+    lines = s.spark.read.parquet(f"{s.data_dir}/lineitem.parquet")
+    value = F.when(F.col("l_orderkey") % 50 == 5, F.lit(1e25)).when(F.col("l_orderkey") % 50 == 6, F.lit(float("nan")))
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return lines.select(F.col("l_linenumber").alias("Category"), value.otherwise(F.col("l_extendedprice")).alias("Revenue"), key.alias("line"))
+
+
+# Compared in units of 1e15, below which a double of this size has no digits.
+register(
+    "amounts_beyond_units",
+    lambda s: an.group_totals(_beyond_units(s), "Category", ["Revenue"]).withColumn("Revenue", F.rint(F.col("Revenue") / 1e15)),
+    """SELECT l_linenumber AS "Category", CAST(count(*) FILTER (l_orderkey % 50 = 5) AS DOUBLE) * 1e10 AS "Revenue" FROM lineitem GROUP BY 1""",
+)
+# Among equal amounts the order is that of the key's MD5; the other amounts weigh nothing beside them.
+register(
+    "classes_beyond_units",
+    lambda s: abc_class(_beyond_units(s), "Revenue", "line", "C").groupBy("ABC_Category", (F.col("Revenue") == 1e25).alias("large"))
+    .agg(F.count(F.lit(1)).alias("line_count"), F.max(F.when(F.col("Revenue") == 1e25, F.md5("line"))).alias("last_hash")),
+    """WITH lines AS (SELECT md5(l_orderkey || '-' || l_linenumber) AS h, CASE WHEN l_orderkey % 50 = 6 THEN NULL ELSE l_orderkey % 50 = 5 END AS big FROM lineitem),
+    ranked AS (SELECT h, row_number() OVER (ORDER BY h) AS r, count(*) OVER () AS n FROM lines WHERE big),
+    classes AS (SELECT CASE WHEN r * 100 <= n * 80 THEN 'A' WHEN r * 100 <= n * 95 THEN 'B' ELSE 'C' END AS c, true AS big, h FROM ranked
+      UNION ALL SELECT 'C', false, NULL FROM lines WHERE big IS NULL OR NOT big)
+    SELECT c AS "ABC_Category", big AS large, count(*) AS line_count, max(h) AS last_hash FROM classes GROUP BY 1, 2""",
+)
+
+
 def _spelled(s: Stages) -> DataFrame:
     day = F.col("l_shipdate").cast("date")
     styles = ["d MMM yyyy", "MMM d, yyyy", "dd/MM/yy", "yyyyMMdd", "d MMMM yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "yyyy-MM-dd", "'on a day'"]
@@ -746,6 +787,13 @@ register(
       "Priority_Level", "Business_Reason" FROM advice
     WHERE contains(lower("Product_ID"), 'prd1%') OR contains(lower("Product_Name"), 'prd1%')""",
 )
+register(
+    "recommendation_search_hits",
+    lambda s: rc.filter_queue(s.advice, search="  ReD "),
+    """SELECT "Product_ID", "Product_Name", "Recommendation_Type", "Action", "Expected_Revenue_Recovery",
+      "Priority_Level", "Business_Reason" FROM advice
+    WHERE contains(lower("Product_ID"), 'red') OR contains(lower("Product_Name"), 'red')""",
+)
 register(
     "recommendation_options",
     lambda s: fl.option_lists(s.advice, ["Recommendation_Type", "Category", "Supplier"]),
@@ -914,6 +962,81 @@ register(
 )
 
 
+def _near_names(s: Stages) -> DataFrame:
+    """Order lines under names that are like canonical ones without being any of theirs."""
+    lines = s.spark.read.parquet(f"{s.data_dir}/lineitem.parquet")
+    return lines.select(
+        F.col("l_suppkey").alias("Warehouse"), F.col("l_partkey").cast("string").alias("Product"), F.col("l_shipmode").alias("Subcategory"),
+        F.col("l_extendedprice").alias("Sell Price"), F.col("l_quantity").alias("Daily Sale"), F.col("l_comment").alias("Remarks"),
+    )
+
+
+def _matched(s: Stages, overrides: dict[str, str] | None = None) -> DataFrame:
+    """Every field with the column that serves it, how it was found, and how many different values it has then."""
+    df, coverage = standardize(_near_names(s), AS_OF, overrides)
+    counts = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(c) for c in coverage.matches])
+    values = F.array(*[F.struct(F.lit(c).alias("canonical_field"), F.col(f"`{c}`").alias("different")) for c in coverage.matches])
+    return coverage.to_frame(s.spark).join(F.broadcast(counts.select(F.inline(values))), "canonical_field")
+
+
+_NEAR_NAMES = (
+    ("Product_ID", "Product", "fuzzy:0.82", "CAST(l_partkey AS VARCHAR)"), ("Category", "Subcategory", "fuzzy:0.84", "l_shipmode"),
+    ("Store_ID", "Warehouse", "fuzzy:0.86", "l_suppkey"), ("Selling_Price", "Sell Price", "fuzzy:0.87", "l_extendedprice"),
+    ("Daily_Sales", "Daily Sale", "fuzzy:0.95", "l_quantity"),
+)
+
+
+def _matched_sql(rows) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS canonical_field, '{src}' AS source_column, '{how}' AS method, count(DISTINCT {e}) AS different FROM lineitem"
+        for c, src, how, e in rows
+    )
+
+
+register("mapping_fuzzy", _matched, _matched_sql(_NEAR_NAMES))
+# An override serves a field that is open, from a column that is free: the last four are neither.
+register(
+    "mapping_overrides",
+    lambda s: _matched(s, {"Brand": "Remarks", "Store_ID": "Remarks", "Supplier": "Warehouse", "SKU": "No Such", "No_Such": "Remarks"}),
+    _matched_sql([*_NEAR_NAMES, ("Brand", "Remarks", "override", "l_comment")]),
+)
+
+
+def _gaps(s: Stages) -> DataFrame:
+    """What a mapping leaves open, one row each, beside the table's row count."""
+    df, coverage = standardize(_near_names(s), AS_OF)
+    found = {"spare": coverage.spare_columns, "analysis": coverage.analyses, "missing": coverage.missing, "derived": coverage.by("derived")}
+    items = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name")) for kind, names in found.items() for name in names])
+    return df.agg(F.count(F.lit(1)).alias("row_count"), F.min("Weekly_Demand").alias("least_weekly"), F.max("Monthly_Demand").alias("most_monthly")).select(
+        F.inline(items), "row_count", "least_weekly", "most_monthly"
+    )
+
+
+register(
+    "mapping_gaps",
+    _gaps,
+    """SELECT kind, name, (SELECT count(*) FROM lineitem) AS row_count, (SELECT min(l_quantity) * 7 FROM lineitem) AS least_weekly,
+      (SELECT max(l_quantity) * 30 FROM lineitem) AS most_monthly
+    FROM (VALUES ('spare', 'Remarks'), ('missing', 'Current_Stock'), ('missing', 'Expiry_Date'), ('missing', 'Product_Name'),
+      ('missing', 'Purchase_Price'), ('derived', 'Weekly_Demand'), ('derived', 'Monthly_Demand'), ('derived', 'Reorder_Level')) AS gaps(kind, name)""",
+)
+
+
+def _monthly_only(s: Stages) -> DataFrame:
+    """Only monthly demand is given: the daily one is derived from it, and the others from that."""
+    lines = s.spark.read.parquet(f"{s.data_dir}/lineitem.parquet")
+    given = lines.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("Item Code"), F.col("l_quantity").alias("Monthly Sales"))
+    return standardize(given, AS_OF)[0].select("Product_ID", "Monthly_Demand", "Daily_Sales", "Weekly_Demand", "Reorder_Level")
+
+
+register(
+    "mapping_monthly_only",
+    _monthly_only,
+    """SELECT l_orderkey || '-' || l_linenumber AS "Product_ID", l_quantity AS "Monthly_Demand", l_quantity / 30e0 AS "Daily_Sales",
+      0e0 AS "Weekly_Demand", 0e0 AS "Reorder_Level" FROM lineitem""",
+)
+
+
 def _numbered(s: Stages) -> DataFrame:
     """Order lines have no column that maps to a product id: ids come from the input order."""
     source = s.spark.read.parquet(f"{s.data_dir}/lineitem.parquet").select(
@@ -982,6 +1105,32 @@ register(
 register("expiry_model_report", lambda s: tr.evaluate_expiry(s.engineered, s.model("expiry")))
 register("demand_model_metrics", lambda s: tr.evaluate_demand(s.engineered, s.model("demand")))
 register("revenue_model_metrics", lambda s: tr.evaluate_revenue(s.engineered, s.model("revenue")))
+def _coefficients(s: Stages) -> DataFrame:
+    """The plain least squares line of the price by three columns that are not collinear, and its rank with a copy of one."""
+    lines = s.spark.read.parquet(f"{s.data_dir}/lineitem.parquet").withColumn("copy", F.col("l_tax") * 3 + 1)
+    line = fit_line(lines, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    doubled = fit_line(lines, ["l_quantity", "l_discount", "l_tax", "copy"], "l_extendedprice")
+    rows = [*line.coefficients.items(), ("intercept", line.intercept)]
+    rows += [("rank", float(doubled.rank)), ("tax_in_all", doubled.coefficients["l_tax"] + 3 * doubled.coefficients["copy"])]
+    cells = F.array(*[F.struct(F.lit(name).alias("name"), half_even(F.lit(value), 4).alias("value")) for name, value in rows])
+    return s.spark.range(1).select(F.inline(cells))
+
+
+register(
+    "least_squares_coefficients",
+    _coefficients,
+    """WITH m AS (SELECT covar_pop(l_quantity, l_quantity) AS a, covar_pop(l_quantity, l_discount) AS b, covar_pop(l_quantity, l_tax) AS c,
+      covar_pop(l_discount, l_discount) AS d, covar_pop(l_discount, l_tax) AS e, covar_pop(l_tax, l_tax) AS f,
+      covar_pop(l_quantity, l_extendedprice) AS x, covar_pop(l_discount, l_extendedprice) AS y, covar_pop(l_tax, l_extendedprice) AS z,
+      avg(l_quantity) AS q, avg(l_discount) AS s, avg(l_tax) AS t, avg(l_extendedprice) AS p FROM lineitem),
+    w AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM m),
+    k AS (SELECT *, (x * (d * f - e * e) - b * (y * f - z * e) + c * (y * e - z * d)) / det AS kq,
+      (a * (y * f - z * e) - x * (b * f - c * e) + c * (b * z - c * y)) / det AS ks,
+      (a * (d * z - e * y) - b * (b * z - c * y) + x * (b * e - c * d)) / det AS kt FROM w)
+    SELECT name, CAST(round_even(value, 4) AS DOUBLE) AS value FROM (SELECT 'l_quantity' AS name, kq AS value FROM k UNION ALL SELECT 'l_discount', ks FROM k
+      UNION ALL SELECT 'l_tax', kt FROM k UNION ALL SELECT 'tax_in_all', kt FROM k UNION ALL SELECT 'rank', 3e0
+      UNION ALL SELECT 'intercept', p - kq * q - ks * s - kt * t FROM k)""",
+)
 register(
     "segment_sizes",
     lambda s: an.cluster_sizes(s.model("segment").transform(tr.segment_inputs(tr.training_table(s.engineered)))),
@@ -1007,21 +1156,104 @@ register("impact_summary_by_stored_models", _stored_models)
 
 
 def _published_round_trip(s: Stages) -> DataFrame:
-    """The four published tables written to a folder and read back: rows, and rows that changed."""
-    tables, out = published_tables(s.valued.withColumn("ABC_Category", F.lit("C")), s.guessed, s.advice, LOADED_AT), None
-    folder = s.scratch("published")
-    publish(tables, folder + "/")
-    for name in sorted(tables):
-        back = s.spark.read.parquet(f"{folder}/{name}")
-        changed = tables[name].exceptAll(back).count() + back.exceptAll(tables[name]).count()
-        row = back.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("table_rows"), F.lit(changed).cast("bigint").alias("changed_rows"))
-        out = row if out is None else out.unionByName(row)
+    """The four published tables, the real class included, to a folder and to a catalog database, and read back.
+
+    Rows, rows that changed, and rows of class A where there is a class. A publication that fails stays unread.
+    """
+    tables, out = published_tables(s.engineered, s.guessed, s.advice, LOADED_AT), None
+    tables = {name: written(df, f"published-{name}") for name, df in tables.items()}
+    database = f"published_{uuid.uuid4().hex[:12]}"
+    s.spark.sql(f"CREATE DATABASE {database}")
+    for sink in (s.scratch("published") + "/", database):
+        publish(tables, sink)
+        try:
+            publish({**tables, "revenue": tables["revenue"].select(F.raise_error(F.lit("stopped")).alias("x"))}, sink)
+        except PySparkException:
+            back = read_published(s.spark, sink)
+        for name in sorted(tables):
+            changed = tables[name].exceptAll(back[name]).count() + back[name].exceptAll(tables[name]).count()
+            first = F.count_if(F.col("ABC_Category") == "A") if "ABC_Category" in back[name].columns else F.lit(None).cast("bigint")
+            row = back[name].agg(
+                F.lit("folder" if "/" in sink else "database").alias("sink"), F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("table_rows"),
+                F.lit(changed).cast("bigint").alias("changed_rows"), first.alias("class_a"),
+            )
+            row = s.spark.createDataFrame(row.collect(), row.schema)  # the database goes
+            out = row if out is None else out.unionByName(row)
+    s.spark.sql(f"DROP DATABASE {database} CASCADE")
     return out
 
 
 register(
     "published_round_trip", _published_round_trip,
-    """SELECT 'inventory' AS table_name, count(*) AS table_rows, CAST(0 AS BIGINT) AS changed_rows FROM cleaned
-    UNION ALL SELECT 'predictions', count(*), 0 FROM scored UNION ALL SELECT 'revenue', count(*), 0 FROM scored
-    UNION ALL SELECT 'recommendations', count(*), 0 FROM advice""",
+    """SELECT sink, table_name, table_rows, CAST(0 AS BIGINT) AS changed_rows, class_a FROM (VALUES ('folder'), ('database')) AS sinks(sink) CROSS JOIN (
+    SELECT 'inventory' AS table_name, count(*) AS table_rows, count(*) FILTER ("ABC_Category" = 'A') AS class_a FROM engineered
+    UNION ALL SELECT 'predictions', count(*), NULL FROM scored UNION ALL SELECT 'revenue', count(*), NULL FROM scored
+    UNION ALL SELECT 'recommendations', count(*), NULL FROM advice) AS counts""",
+)
+
+
+def _model_kpis(s: Stages) -> DataFrame:
+    """Amount at risk and health, recomputed by SQL text from the written predictions of the models."""
+    scored = written(tr.score_by_models(s.kept, s.models, AS_OF), "scored-by-models")
+    scored.createOrReplaceTempView("scored_by_models")
+    return s.spark.sql("""
+    WITH again AS (
+        SELECT *, CASE WHEN Predicted_Expiry_Risk IN ('High', 'Medium') THEN rint(Stock_Quantity * Selling_Price * 100) / 100 ELSE 0 END AS risk,
+            100 - CASE WHEN Stock_Quantity <= Min_Stock_Level OR Stock_Quantity >= Max_Stock_Level THEN 20 ELSE 0 END
+            - CASE Predicted_Expiry_Risk WHEN 'High' THEN 40 WHEN 'Medium' THEN 20 ELSE 0 END
+            - CASE WHEN Predicted_Sales_Velocity * 365 / nullif(Stock_Quantity + 1, 0) < 1 THEN 10 ELSE 0 END AS health
+        FROM scored_by_models
+    )
+    SELECT count(*) AS row_count, count_if(NOT risk <=> Predicted_Revenue_at_Risk) AS other_risk,
+        count_if(NOT CAST(greatest(least(health, 100), 0) AS INT) <=> Predicted_Inventory_Health) AS other_health,
+        count_if(Predicted_Expiry_Risk IS NULL OR Predicted_Expiry_Risk NOT IN ('High', 'Medium', 'Low')) AS no_risk,
+        count_if(Predicted_Revenue IS NULL OR Predicted_Revenue < 0 OR Predicted_Sales_Velocity < 0) AS below_zero,
+        count_if(Predicted_Cluster IS NULL OR Predicted_Cluster NOT BETWEEN 0 AND 3) AS no_segment
+    FROM again""")
+
+
+register(
+    "kpis_of_model_predictions", _model_kpis,
+    """SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS other_risk, CAST(0 AS BIGINT) AS other_health, CAST(0 AS BIGINT) AS no_risk,
+    CAST(0 AS BIGINT) AS below_zero, CAST(0 AS BIGINT) AS no_segment FROM cleaned""",
 )
+
+
+def _loaded_models(s: Stages) -> DataFrame:
+    """Lines on which stored and loaded models answer otherwise than the fitted ones."""
+    folder = s.scratch("models")
+    s.models.save(folder)
+    answers = ["Predicted_Expiry_Risk", "Predicted_Sales_Velocity", "Predicted_Revenue", "Predicted_Cluster"]
+    prepared = sc.score_prep(s.kept, AS_OF)
+    one, two = (tr.apply_models(prepared, m).select("Batch_No", F.struct(*answers).alias(name)) for m, name in ((s.models, "fitted"), (tr.Models.load(folder), "loaded")))
+    return one.join(two, "Batch_No").agg(F.count(F.lit(1)).alias("row_count"), F.count_if(~F.col("fitted").eqNullSafe(F.col("loaded"))).alias("different"))
+
+
+register("loaded_models_answer_alike", _loaded_models, "SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS different FROM cleaned")
+
+
+def _segments_again(s: Stages) -> DataFrame:
+    """Sizes and silhouette from the written assignments by SQL text, beside the library's own."""
+    model = s.model("segment")
+    assigned = model.transform(tr.segment_inputs(tr.training_table(s.engineered)))
+    written(assigned.select("Predicted_Cluster", vector_to_array("features").alias("v")), "assigned").createOrReplaceTempView("assigned")
+    own = tr.silhouette(s.engineered, model)
+    # Mean squared distance to a cluster = |x|^2 + mean |y|^2 - 2 x . mean y.
+    return s.spark.sql(f"""
+    WITH points AS (SELECT Predicted_Cluster AS c, v, aggregate(v, 0D, (t, x) -> t + x * x) AS q FROM assigned),
+    parts AS (SELECT c, count(*) AS n, avg(q) AS mean_q, array(avg(v[0]), avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])) AS mean_v FROM points GROUP BY c),
+    far AS (
+        SELECT p.c, p.v, p.q, d.c AS other, d.n, p.q + d.mean_q - 2 * aggregate(zip_with(p.v, d.mean_v, (x, y) -> x * y), 0D, (t, x) -> t + x) AS dist
+        FROM points p JOIN parts d ON d.c <> p.c
+    ),
+    near AS (SELECT c, v, q, min(dist) AS b, count(*) AS copies FROM far GROUP BY c, v, q),
+    own AS (
+        SELECT n.c, n.v, n.b, p.n, (n.q + p.mean_q - 2 * aggregate(zip_with(n.v, p.mean_v, (x, y) -> x * y), 0D, (t, x) -> t + x)) * p.n / greatest(p.n - 1, 1) AS a
+        FROM near n JOIN parts p ON n.c = p.c
+    ),
+    worth AS (SELECT c, v, CASE WHEN n = 1 THEN 0D WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0D END AS s FROM own),
+    total AS (SELECT avg(w.s) AS s, count(*) AS n FROM points p JOIN worth w ON p.c = w.c AND p.v = w.v)
+    SELECT n AS row_count, abs(s - {own!r}D) < 1e-6 AS same_silhouette, (SELECT count(*) FROM parts) AS segments FROM total""")
+
+
+register("segments_recomputed", _segments_again, "SELECT count(*) AS row_count, true AS same_silhouette, CAST(4 AS BIGINT) AS segments FROM cleaned")

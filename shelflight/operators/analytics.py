@@ -182,10 +182,16 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c, kind in df.dtypes if kind in kinds and c not in FLAG_COLUMNS]
 
 
-# Pairs of columns of one aggregate: six moments each.
+# Pairs of columns of one aggregate.
 _PAIRS = 256
 
 
+def _pearson(x: Column, y: Column) -> Column:
+    """Correlation over the rows that have both; null where one of them does not vary (`corr` divides by zero there)."""
+    spread = F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x))
+    return F.try_divide(F.regr_sxy(y, x), spread)
+
+
 def correlations(df: DataFrame, columns: Sequence[str] | None = None, digits: int | None = None) -> DataFrame:
     """Pearson matrix in long form (a, b, corr), pairwise complete, in one pass.
 
@@ -205,16 +211,17 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, digits: in
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     blocks = [pairs[k : k + _PAIRS] for k in range(0, len(pairs), _PAIRS)]
     if len(blocks) == 1:
-        moments = values.agg(*[F.corr(f"c{i}", f"c{j}").alias(f"m{k}") for k, (i, j) in enumerate(pairs)]).withColumn("block", F.lit(0))
+        moments = values.agg(*[_pearson(F.col(f"c{i}"), F.col(f"c{j}")).alias(f"m{k}") for k, (i, j) in enumerate(pairs)]).withColumn("block", F.lit(0))
     else:
         sides = [F.struct(F.lit(b).alias("block"), *[F.array(*[F.col(f"c{pair[side]}") for pair in block]).alias(name) for side, name in enumerate("xy")])
                  for b, block in enumerate(blocks)]
-        spread = values.select(F.inline(F.array(*sides)))
-        moments = spread.groupBy("block").agg(*[F.corr(F.get("x", F.lit(k)), F.get("y", F.lit(k))).alias(f"m{k}") for k in range(_PAIRS)])
+        no_row = df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(c) for c in values.columns])  # so that no block is missing
+        spread = values.unionByName(no_row).select(F.inline(F.array(*sides)))
+        moments = spread.groupBy("block").agg(*[_pearson(F.get("x", F.lit(k)), F.get("y", F.lit(k))).alias(f"m{k}") for k in range(_PAIRS)])
     cells = F.posexplode(F.array(*[F.col(f"m{k}") for k in range(len(blocks[0]) if blocks else 0)])).alias("at", "corr")
     number = F.col("block") * _PAIRS + F.col("at")
     places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
-    corr = F.when(~F.isnan("corr"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("corr"))))
+    corr = F.when(F.col("corr").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("corr"))))
     corr = F.when(F.col("i") == F.col("j"), F.when(corr.isNotNull(), F.lit(1.0))).otherwise(corr)
     label = F.array(*[F.lit(c) for c in names])
     found = (

@@ -14,12 +14,13 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IndexToString, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelflight.functions import half_even, ratio_or_zero
 from shelflight.operators.features import alias_if_missing, coerce_numbers, zero_missing_numbers
+from shelflight.operators.least_squares import fit_line
 from shelflight.operators.metrics import classification_report, regression_metrics
 from shelflight.operators.pareto import Boundaries
 from shelflight.operators.scoring import predicted_turnover, score_kpis, score_prep, segment_margin
@@ -141,19 +142,13 @@ def fit_demand(train: DataFrame) -> PipelineModel:
 
 
 def fit_revenue(train: DataFrame) -> PipelineModel:
-    """Least squares from one pass over the rows.
+    """Plain least squares from one aggregate over the rows.
 
-    Velocity and volume are proportional in most tables, which plain least squares
-    leaves undetermined. A ridge far below the noise picks the solution of least
-    norm on scaled inputs, which shares the weight between the two.
+    Velocity and volume are proportional in most tables; the solution of least norm on scaled inputs shares the
+    weight between the two.
     """
     require_columns(train, REVENUE_NUMBERS + ["Revenue"])
-    line = LinearRegression(
-        featuresCol="features", labelCol="revenue_label", predictionCol="Predicted_Revenue", regParam=1e-6,
-        solver="normal",
-    )
-    labelled = train.withColumn("revenue_label", F.col("Revenue").cast("double"))
-    return Pipeline(stages=[*_encoding([], REVENUE_NUMBERS), line]).fit(labelled)
+    return PipelineModel(stages=[fit_line(train, REVENUE_NUMBERS, "Revenue").stage("Predicted_Revenue")])
 
 
 def segment_inputs(df: DataFrame) -> DataFrame:

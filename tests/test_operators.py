@@ -15,6 +15,7 @@ from shelflight.operators.scoring import score_kpis
 from shelflight.operators.splits import split
 from shelflight.operators.training import Models, require_columns
 from shelflight.plans.stages import execute_run
+from shelflight.sources.publish import read_published
 from shelflight.streaming.live import live_recommendations, write_live
 
 DATA = "/root/testdata/sf0.001"
@@ -114,7 +115,7 @@ def test_a_whole_run(spark, tmp_path):
     run = execute_run(raw, AS_OF, str(tmp_path / "run"), dt.datetime(2001, 12, 1))
     assert run.cleaned.count() == 5076
     assert run.summary.first().Products_Analysed == run.scored.select("Product_ID").distinct().count()
-    published = spark.read.parquet(str(tmp_path / "run/published/recommendations"))
+    published = read_published(spark, str(tmp_path / "run/published/"))["recommendations"]
     shown = [c for c in published.columns if c in run.recommendations.columns]
     assert published.select(*shown).exceptAll(run.recommendations.select(*shown)).count() == 0
     assert published.count() == run.recommendations.count()
