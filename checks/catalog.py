@@ -966,8 +966,8 @@ def _near_names(s: Stages) -> DataFrame:
     """Order lines under names that are like canonical ones without being any of theirs."""
     lines = s.spark.read.parquet(f"{s.data_dir}/lineitem.parquet")
     return lines.select(
-        F.col("l_suppkey").alias("Warehouse"), F.col("l_partkey").cast("string").alias("Product"), F.col("l_shipmode").alias("Subcategory"),
-        F.col("l_extendedprice").alias("Sell Price"), F.col("l_quantity").alias("Daily Sale"), F.col("l_comment").alias("Remarks"),
+        F.col("l_suppkey").alias("Warehouse"), F.col("l_partkey").cast("string").alias("Product"), F.col("l_returnflag").alias("Subcategory"),
+        F.col("l_extendedprice").alias("Sell Price"), F.col("l_quantity").alias("Daily Sale"), F.col("l_linestatus").alias("Remarks"),
     )
 
 
@@ -980,7 +980,7 @@ def _matched(s: Stages, overrides: dict[str, str] | None = None) -> DataFrame:
 
 
 _NEAR_NAMES = (
-    ("Product_ID", "Product", "fuzzy:0.82", "CAST(l_partkey AS VARCHAR)"), ("Category", "Subcategory", "fuzzy:0.84", "l_shipmode"),
+    ("Product_ID", "Product", "fuzzy:0.82", "CAST(l_partkey AS VARCHAR)"), ("Category", "Subcategory", "fuzzy:0.84", "l_returnflag"),
     ("Store_ID", "Warehouse", "fuzzy:0.86", "l_suppkey"), ("Selling_Price", "Sell Price", "fuzzy:0.87", "l_extendedprice"),
     ("Daily_Sales", "Daily Sale", "fuzzy:0.95", "l_quantity"),
 )
@@ -998,7 +998,7 @@ register("mapping_fuzzy", _matched, _matched_sql(_NEAR_NAMES))
 register(
     "mapping_overrides",
     lambda s: _matched(s, {"Brand": "Remarks", "Store_ID": "Remarks", "Supplier": "Warehouse", "SKU": "No Such", "No_Such": "Remarks"}),
-    _matched_sql([*_NEAR_NAMES, ("Brand", "Remarks", "override", "l_comment")]),
+    _matched_sql([*_NEAR_NAMES, ("Brand", "Remarks", "override", "l_linestatus")]),
 )
 
 
@@ -1017,8 +1017,7 @@ register(
     _gaps,
     """SELECT kind, name, (SELECT count(*) FROM lineitem) AS row_count, (SELECT min(l_quantity) * 7 FROM lineitem) AS least_weekly,
       (SELECT max(l_quantity) * 30 FROM lineitem) AS most_monthly
-    FROM (VALUES ('spare', 'Remarks'), ('missing', 'Current_Stock'), ('missing', 'Expiry_Date'), ('missing', 'Product_Name'),
-      ('missing', 'Purchase_Price'), ('derived', 'Weekly_Demand'), ('derived', 'Monthly_Demand'), ('derived', 'Reorder_Level')) AS gaps(kind, name)""",
+    FROM (VALUES ('spare', 'Remarks'), ('missing', 'Current_Stock'), ('missing', 'Purchase_Price'), ('derived', 'Weekly_Demand'), ('derived', 'Monthly_Demand'), ('derived', 'Reorder_Level')) AS gaps(kind, name)""",
 )
 
 
@@ -1033,7 +1032,7 @@ register(
     "mapping_monthly_only",
     _monthly_only,
     """SELECT l_orderkey || '-' || l_linenumber AS "Product_ID", l_quantity AS "Monthly_Demand", l_quantity / 30e0 AS "Daily_Sales",
-      0e0 AS "Weekly_Demand", 0e0 AS "Reorder_Level" FROM lineitem""",
+      l_quantity / 30e0 * 7 AS "Weekly_Demand", ceil(l_quantity / 30e0 * 7 * 1.5e0) AS "Reorder_Level" FROM lineitem""",
 )
 
 

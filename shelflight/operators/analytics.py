@@ -183,7 +183,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 # Pairs of columns of one aggregate.
-_PAIRS = 256
+_PAIRS = 24
 
 
 def _pearson(x: Column, y: Column) -> Column:
