@@ -9,8 +9,10 @@ once. A span of the tagger only counts with the digits, parts or checksum of its
 from __future__ import annotations
 
 import dataclasses
+import heapq
 import itertools
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -304,29 +306,74 @@ def reconcile(base: list[Span], found: list[tuple[int, int, int, float]]) -> lis
     return sorted([(*s, True, 1.0) for s in base] + [(*s, False, best[s]) for s in added])
 
 
-def _lesson(text: str, spans: list[Span], start: int) -> tuple[np.ndarray, np.ndarray]:
-    codes, tags = window_codes(codes_of(text[start : start + WINDOW]), 0), np.zeros(WINDOW, dtype=np.int64)
+# What may be data of a kind, however it is written: wider than the rules and than what the tagger may add.
+_LOOSE = (
+    re.compile(r"[A-Za-z0-9._%+-]+[ \[(]{0,2}@[ \])]{0,2}[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    re.compile(r"(?<![0-9])[0-9]{1,3}(?:[ \[(]{0,2}\.[ \])]{0,2}[0-9]{1,3}){3}(?![0-9])"),
+    re.compile(r"(?<![0-9])[0-9](?:[ ./-]{0,3}[0-9]){12,18}(?![0-9])"),
+    re.compile(r"\+?[0-9(][0-9 ().-]{7,}[0-9]"),
+)
+
+
+def unlabelled(text: str, spans: list[Span]) -> np.ndarray:
+    """For each character, whether it may belong to data that no span names: it teaches nothing."""
+    out = covered(len(text), [m.span() for loose in _LOOSE for m in loose.finditer(text)])
+    for _, start, end in spans:
+        out[start:end] = False
+    return out
+
+
+def _lesson(text: str, spans: list[Span]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and tags of a window's text; what may be data without a label is masked."""
+    codes, tags = window_codes(codes_of(text[:WINDOW]), 0), np.zeros(WINDOW, dtype=np.int64)
+    masked = unlabelled(text, spans)[:WINDOW]
+    codes[: len(masked)][masked] = OTHER
     for kind, s, e in spans:
-        a, b = max(0, s - start), min(WINDOW, e - start)
+        a, b = s, min(WINDOW, e)
         if a < b:
             tags[a:b] = 2 * kind + 2
-            if s >= start:
-                tags[a] = 2 * kind + 1
+            tags[a] = 2 * kind + 1
     return codes, tags
 
 
-def learn(windows: list[str], batches: int = 300, hidden: int = 16, seed: int = 5) -> Detector:
-    """Train a tagger on the rules' spans in these texts of about a window, and on rewritten copies."""
-    lessons = []
+def _replaced(text: str, spans: list[Span], which: Span, other: str, more: list[Span]) -> tuple[str, list[Span]]:
+    """`text` with `other` in the place of one span; `more` are the spans inside it, from its start on."""
+    kind, start, end = which
+    shift = len(other) - (end - start)
+    kept = [(k, s + shift * (s >= end), e + shift * (s >= end)) for k, s, e in spans if (k, s, e) != which]
+    return text[:start] + other + text[end:], [*[(k, s + start, e + start) for k, s, e in more], *kept]
+
+
+def lessons_of(windows: list[str]) -> list[tuple[str, list[Span]]]:
+    """Texts with their spans: as the rules find them, rewritten, and with other data right behind or before."""
+    known = []
     for text in sorted(windows):
         spans = rule_spans(text)
-        free = [s for s in spans if not any(o != s and o[1] < s[2] and s[1] < o[2] for o in spans)]
-        lessons.append(_lesson(text, free, 0))
-        for kind, start, end in free:
-            for other in rewritten(kind, text[start:end]):
-                shift = len(other) - (end - start)
-                moved = [(k, s + shift * (s >= end), e + shift * (s >= end)) for k, s, e in free if (k, s, e) != (kind, start, end)]
-                lessons.append(_lesson(text[:start] + other + text[end:], [(kind, start, start + len(other)), *moved], 0))
+        known.append((text, [s for s in spans if not any(o != s and o[1] < s[2] and s[1] < o[2] for o in spans)]))
+    pool = [(kind, text[start:end]) for text, spans in known for kind, start, end in spans]
+    lessons, turn = [], 0
+    for text, spans in known:
+        lessons.append((text, spans))
+        for span in spans:
+            kind, start, end = span
+            own = text[start:end]
+            forms = [own, *rewritten(kind, own)]
+            for other in forms[1:]:
+                lessons.append(_replaced(text, spans, span, other, [(kind, 0, len(other))]))
+            for behind in (True, False):
+                # Any form of this one beside any other data of the sample, turn by turn.
+                turn += 1
+                form, (next_kind, beside) = forms[turn % len(forms)], pool[turn * 7919 % len(pool)]
+                first, second = ((kind, form), (next_kind, beside)) if behind else ((next_kind, beside), (kind, form))
+                gap = (" ", ", ", " / ", "\n")[turn // 2 % 4]
+                both = [(first[0], 0, len(first[1])), (second[0], len(first[1]) + len(gap), len(first[1]) + len(gap) + len(second[1]))]
+                lessons.append(_replaced(text, spans, span, first[1] + gap + second[1], both))
+    return lessons
+
+
+def learn(windows: list[str], batches: int = 500, hidden: int = 16, seed: int = 5) -> Detector:
+    """Train a tagger on the rules' spans in these texts of about a window, and on copies with rewritten and added data."""
+    lessons = [_lesson(*lesson) for lesson in lessons_of(windows)]
     if not any(tags.any() for _, tags in lessons):
         return Detector(None)
     tagger = Tagger.fresh(5 + len(SYMBOLS), hidden, allowed_steps(), seed)
@@ -335,19 +382,24 @@ def learn(windows: list[str], batches: int = 300, hidden: int = 16, seed: int =
     return Detector(tagger)
 
 
-def train(docs: DataFrame, documents: int = 20_000, seed: int = 5) -> Detector:
-    """Learn from the windows with a trigger in about `documents` documents, chosen by a hash of doc_id.
+def train(docs: DataFrame, documents: int = 20_000, windows: int = 8, seed: int = 5) -> Detector:
+    """Learn from windows with a trigger in about `documents` documents, chosen by a hash of doc_id.
 
-    That bound is on documents; of each, at most eight windows around triggers go to the driver.
+    Both bounds are on the sample for training alone: of each of these documents `windows` windows, from anywhere in
+    the text, go to the driver, those with the smallest hash.
     """
     ship(docs.sparkSession)
     rate = min(1.0, documents / max(1, docs.count()))
     chosen = docs.where(F.coalesce(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30)), F.lit(False)))
 
+    def some(text: str) -> list[str]:
+        parts = {text[w : w + WINDOW] for w in windows_of(text)}
+        return heapq.nsmallest(windows, parts, key=lambda part: (zlib.crc32(part.encode(), seed), part))
+
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").filter(pc.match_substring_regex(batch.column("text"), TRIGGER)).to_pylist()
-            parts = [t[w : w + WINDOW] for t in texts for w in windows_of(t)[:8]]
+            parts = [part for text in texts for part in some(text)]
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string())], names=["part"])
 
     rows = chosen.select(text_or_empty().alias("text")).mapInArrow(cut, "part string").distinct().toArrow()
