@@ -93,7 +93,8 @@ def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op13_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = F.array(*[F.struct(*[F.lit(value).alias(name) for name, value in zip(("host", "path", "verdict"), rule, strict=True)]) for rule in URL_RULES])
+    rules = spark.range(1).select(F.inline(rules))
     return url_filter.judge(table(spark, folder, "pages"), rules)
 
 
