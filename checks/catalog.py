@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks.sql import mean, over_stages, rounded, total
@@ -28,6 +28,7 @@ from shelflight.operators.least_squares import fit_line
 from shelflight.operators.mapping import standardize
 from shelflight.operators.metrics import classification_report, regression_metrics
 from shelflight.operators.pareto import abc_class, running_share
+from shelflight.operators.segments import segment_names
 from shelflight.schema import type_names
 from shelflight.session import shared_folder, tune, written
 from checks.inventory_view import AS_OF, inventory_lines
@@ -1256,3 +1257,24 @@ def _segments_again(s: Stages) -> DataFrame:
 
 
 register("segments_recomputed", _segments_again, "SELECT count(*) AS row_count, true AS same_silhouette, CAST(4 AS BIGINT) AS segments FROM cleaned")
+
+
+def _segment_names(s: Stages) -> DataFrame:
+    """Names of the segments, with whether the written assignments bear them out."""
+    assigned = s.model("segment").transform(tr.segment_inputs(tr.training_table(s.engineered)))
+    assigned = written(assigned.select("Predicted_Cluster", "Inventory_Value", "Sales_Velocity"), "assigned")
+    names = segment_names(assigned)
+    total = F.sum("row_count").over(Window.partitionBy())
+    fast, high = F.col("Segment_Name").startswith("Fast"), F.col("Segment_Name").endswith("High Value")
+    half = Window.partitionBy(high)
+    least_high = F.min(F.when(high, F.col("mean_value"))).over(Window.partitionBy())
+    most_low = F.max(F.when(~high, F.col("mean_value"))).over(Window.partitionBy())
+    faster = F.max("mean_velocity").over(half) == F.col("mean_velocity")
+    return names.select("Segment_Name", total.alias("row_count"), ((least_high >= most_low) & (faster == fast)).alias("borne_out"))
+
+
+register(
+    "segment_names", _segment_names,
+    """SELECT name AS "Segment_Name", (SELECT count(*) FROM cleaned) AS row_count, true AS borne_out
+    FROM (VALUES ('Fast Moving High Value'), ('Slow Moving High Value'), ('Fast Moving Low Value'), ('Dead Stock')) AS names(name)""",
+)

@@ -11,9 +11,8 @@ from pyspark.errors import PySparkException
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IndexToString, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, OneHotEncoder, StandardScaler, StandardScalerModel, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +23,7 @@ from shelflight.operators.least_squares import fit_line
 from shelflight.operators.metrics import classification_report, regression_metrics
 from shelflight.operators.pareto import Boundaries
 from shelflight.operators.scoring import predicted_turnover, score_kpis, score_prep, segment_margin
+from shelflight.operators.segments import assigning, fit_centres
 from shelflight.operators.splits import SEED, split
 from shelflight.schema import LEGACY_NAMES, LINE_KEY
 from shelflight.session import ensure_checkpoint_dir
@@ -169,19 +169,18 @@ def segment_inputs(df: DataFrame) -> DataFrame:
 
 
 def fit_segments(df: DataFrame) -> PipelineModel:
-    """K-means on scaled features, the best of ten starts."""
+    """K-means on scaled features, the best of ten starts, all of which pass over the rows together."""
     require_columns(df, SEGMENT_NUMBERS)
     prepare = Pipeline(stages=_encoding([], SEGMENT_NUMBERS)).fit(df)
-    points = prepare.transform(df).select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fits = [
-            KMeans(featuresCol="features", predictionCol="Predicted_Cluster", k=SEGMENTS, seed=SEED + i).fit(points)
-            for i in range(SEGMENT_STARTS)
-        ]
-    finally:
-        points.unpersist()
-    best = min(fits, key=lambda model: model.summary.trainingCost)
-    return PipelineModel(stages=[*prepare.stages, best])
+    scaler = next(stage for stage in prepare.stages if isinstance(stage, StandardScalerModel))
+    means, deviations = scaler.mean.toArray(), scaler.std.toArray()
+    scaled = [
+        ((F.col(c).cast("double") - F.lit(float(m))) * F.lit(1 / float(d) if d else 0.0)).alias(f"x{i}")
+        for i, (c, m, d) in enumerate(zip(SEGMENT_NUMBERS, means, deviations, strict=True))
+    ]
+    with _kept(df.select(*scaled)) as points:
+        centres, _ = fit_centres(points, SEGMENTS, SEGMENT_STARTS, seed=SEED)
+    return PipelineModel(stages=[*prepare.stages, assigning(SEGMENT_NUMBERS, means, deviations, centres, "Predicted_Cluster")])
 
 
 _LEARNED_FROM = sorted(

@@ -146,3 +146,22 @@ def test_duplicates_are_counted_by_digest(spark):
     df = spark.createDataFrame(rows, "s string, `d.x` double, i int")
     assert duplicate_count(df).first()[0] == len(rows) - df.dropDuplicates().count() == 3
     assert duplicate_count(df.limit(0)).first()[0] == 0
+
+
+def test_ten_starts_at_once_reach_the_cost_of_separate_fits(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    from shelflight.operators.segments import assigning, fit_centres
+
+    draw = np.random.default_rng(4)
+    centres = np.array([[0, 0], [6, 0], [0, 6], [6, 6]])
+    points = np.concatenate([draw.normal(c, 0.8, (60, 2)) for c in centres])
+    df = spark.createDataFrame([tuple(map(float, p)) for p in points], "x0 double, x1 double").repartition(3).cache()
+    found, cost = fit_centres(df, 4, 10)
+    vectors = VectorAssembler(inputCols=["x0", "x1"], outputCol="features").transform(df)
+    best = min(KMeans(k=4, seed=i).fit(vectors).summary.trainingCost for i in range(5))
+    assert math.isclose(cost, best, rel_tol=1e-3)
+    named = assigning(["x0", "x1"], [0, 0], [1, 1], found, "c").transform(df).collect()
+    assert all(r["c"] == int(np.argmin(((found - [r["x0"], r["x1"]]) ** 2).sum(axis=1))) for r in named)
+    assert fit_centres(df.limit(0), 4, 2)[1] == 0.0
