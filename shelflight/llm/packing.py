@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelflight.llm.shared import ship, text_or_empty
-from shelflight.llm.token_ids import slices, word_tokenizer
+from shelflight.llm.shared import ship, text_or_empty, tidy
+from shelflight.llm.token_ids import LOADED, slices, word_tokenizer
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 TOKENS = "doc_id bigint, row bigint, pack_group bigint, ids binary"
@@ -137,6 +137,7 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int, group_bytes: int, s
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("row"), part.column("pack_group"), each], names=["doc_id", "row", "pack_group", "ids"]
                 )
+        tidy(keep=LOADED)  # the memory of words serves the next task
 
     return rows.mapInArrow(encode, TOKENS)
 

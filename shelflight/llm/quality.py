@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelflight.llm.shared import ship, text_or_empty
+from shelflight.llm.shared import ship, text_or_empty, tidy
 from shelflight.llm.shingles import shingle_numbers, word_numbers
 from shelflight.llm.token_ids import slices
 
@@ -191,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, seed: int =
 
     @F.arrow_udf("array<double>")
     def measure(texts: pa.Array) -> pa.Array:
-        parts = [features(texts.slice(a, n)) for a, n in slices(texts, 8 << 20)]
+        parts = [features(texts.slice(a, n)) for a, n in slices(texts, 2 << 20)]
+        tidy()
         return pa.array(list(np.concatenate(parts)) if parts else [], pa.list_(pa.float64()))
 
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -207,7 +208,8 @@ def with_score(docs: DataFrame, model: Model, text: Column) -> DataFrame:
 
     @F.arrow_udf("double")
     def rate(texts: pa.Array) -> pa.Array:
-        parts = [model.scores(features(texts.slice(a, n))) for a, n in slices(texts, 8 << 20)]
+        parts = [model.scores(features(texts.slice(a, n))) for a, n in slices(texts, 2 << 20)]
+        tidy()
         return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
     return docs.withColumn("score", rate(text))
@@ -224,6 +226,10 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs` with a score of 0.5 or more, with all their columns."""
+    """The rows of `docs` with a score of 0.5 or more, with all their columns.
+
+    Null and empty texts are scored as texts without words, repeated rows and rows without doc_id each by itself. An
+    empty table gives no rows.
+    """
     rows = docs.select(F.struct("*").alias("row"))
     return with_score(rows, model, F.coalesce(F.col("row.text"), F.lit(""))).where("score >= 0.5").select("row.*")

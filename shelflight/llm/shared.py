@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import contextvars
+import ctypes
 import os
 import pathlib
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -93,6 +95,21 @@ def discard(*tables: DataFrame) -> None:
         delete_folder(table.sparkSession, table._stored_in)
 
 
+CACHES: list[dict] = []  # what modules keep in a worker from task to task
+
+
+def tidy(keep: dict | None = None) -> None:
+    """Give memory back to the system at the end of a task, for workers live on: caches but `keep`, and what is free."""
+    for cache in CACHES:
+        if cache is not keep:
+            cache.clear()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

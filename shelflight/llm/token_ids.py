@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from shelflight.llm.shared import CACHES
+
 # Texts of printable ASCII without apostrophes and of composed Latin letters, where case and splits are plain.
 _ODD = r"[^\t-\r -&(-~À-ÖØ-öø-ÿ]|<\|"
 _MARKS = r"([!-/:-@\[-`{-~]+)"
@@ -22,7 +24,7 @@ class WordTokenizer:
     no result.
     """
 
-    def __init__(self, path: str, words: int = 500_000) -> None:
+    def __init__(self, path: str, words: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,14 +79,15 @@ class WordTokenizer:
         return self.ids[place], np.concatenate([[0], ends])[offsets - offsets[0]]
 
 
-_LOADED: dict[str, WordTokenizer] = {}
+LOADED: dict[str, WordTokenizer] = {}
+CACHES.append(LOADED)
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
     """One tokenizer per worker process and file."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+    if path not in LOADED:
+        LOADED[path] = WordTokenizer(path)
+    return LOADED[path]
 
 
 def slices(texts: pa.Array, most: int) -> list[tuple[int, int]]:

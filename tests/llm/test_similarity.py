@@ -70,7 +70,6 @@ def test_join_equals_all_pairs_on_mutated_copies(spark):
 
 def test_large_blocks_and_heads_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 7)
-    monkeypatch.setattr(jaccard, "HEAD", 3)
     monkeypatch.setattr(jaccard, "PARTNERS", 5)
     draw = random.Random(9)
     base = [f"x{i}" for i in range(70)]
@@ -84,6 +83,33 @@ def test_large_blocks_and_heads_lose_no_link(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == plain_groups(rows, 3, 85)
 
 
+def test_rows_of_one_id_with_different_texts_lose_no_link(spark):
+    # Text 1 of id 7 shares a rare shingle with the long one only, text 2 of id 7 is the one like it.
+    long = [f"z{i}" for i in range(100)]
+    like = [*long[:3], *[f"z{i}" for i in range(3, 99)], "end"]
+    rows = [(7, " ".join([*long[40:43], *[f"k{i}" for i in range(8)]])), (7, " ".join(like)), (9, " ".join(long)), (5, "apart from all others here"), (5, "")]
+    rows += [(i, " ".join([*long[60:63], *[f"m{i}x{k}" for k in range(8)]])) for i in range(20, 40)] + [(3, " ".join(like))] * 3
+    rows += [(3, rows[0][1]), (41, "apart from all others here")]
+    for size, percent in ((3, 90), (5, 80)):
+        got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), size, percent).collect()
+        assert sorted(map(tuple, got), key=repr) == plain_groups(rows, size, percent)
+
+
+def test_bitmap_and_sketch_that_are_full_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SKETCH_BITS", 3)
+    monkeypatch.setattr(jaccard, "SEEN_BITS", 6)
+    monkeypatch.setattr(jaccard, "CHUNK_BITS", 2)
+    draw = random.Random(3)
+    base = [[f"b{k}x{i}" for i in range(40)] for k in range(6)]
+    rows = []
+    for i in range(80):
+        copy = list(base[i % 6])
+        copy[draw.randrange(40)] = f"y{i % 9}"
+        rows.append((i, " ".join(copy)))
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 3, 80).collect()
+    assert sorted(map(tuple, got), key=repr) == plain_groups(rows, 3, 80)
+
+
 def test_shingles_count_as_sets_of_words():
     texts = ["", "  ", "a", "A b", "a b c", "a b c a b c", "É é", "a\x0bb\x1cc d", " lead trail "]
     for size in (1, 3, 5):
