@@ -23,7 +23,7 @@ from shelflight.llm.token_ids import slices
 SKETCH_BITS = 22  # occurrences of shingles are counted in so many buckets, whatever the input
 CHUNK_BITS = 14  # buckets of one row of a sketch
 SKETCH_STEPS = 8  # a byte of the merged sketch holds so many steps for each doubling of the count
-SEEN_BITS = 25  # bits of the map of prefix shingles that two sets have or more
+SEEN_BITS = 27  # bits of the map of prefix shingles that two sets have or more
 VERIFY_COST = 50.0  # work to verify a candidate, as a multiple of the work to look at one more posting; and n for its text
 STEP = 40  # a set of n shingles takes an l of 1 + n // STEP at least: large sets meet others by chance
 LONGEST = 4  # so many values of l from there on
@@ -145,16 +145,23 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 def seen_twice(sets: DataFrame) -> np.ndarray:
     """A map of bits that is set for every prefix shingle of two sets or more, and by chance for others.
 
-    Of a fixed size (4 MB): with very many shingles it fills up and spares less of the shuffle; results stay.
+    Of a fixed size (16 MB): with very many shingles it fills up and spares less of the shuffle; results stay.
     """
     chunk = 1 << CHUNK_BITS
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SEEN_BITS, dtype=np.uint8)
+        once, twice = np.zeros((1 << SEEN_BITS) // 8, dtype=np.uint8), np.zeros((1 << SEEN_BITS) // 8, dtype=np.uint8)
         for batch in batches:
             spots, times = np.unique(_spots(batch.column("tokens").flatten().to_numpy(), SEEN_BITS), return_counts=True)
-            counts[spots] = np.minimum(2, counts[spots] + np.minimum(times, 2)).astype(np.uint8)
-        maps = [np.packbits(counts >= k).reshape(-1, chunk) for k in (1, 2)]
+            if not len(spots):
+                continue
+            bits = (128 >> (spots & 7)).astype(np.uint8)
+            places, first = np.unique(spots >> 3, return_index=True)
+            again = np.bitwise_or.reduceat(np.where(times > 1, bits, np.uint8(0)), first)
+            own = np.bitwise_or.reduceat(bits, first)
+            twice[places] |= again | (once[places] & own)
+            once[places] |= own
+        maps = [m.reshape(-1, chunk) for m in (once, twice)]
         held = np.flatnonzero(maps[0].any(axis=1))
         packed = [pa.array([zlib.compress(m[i].tobytes(), 1) for i in held], pa.binary()) for m in maps]
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), *packed], names=["chunk", "once", "twice"])
@@ -395,10 +402,9 @@ def _facts(packed: str) -> dict[str, Column]:
 
 
 def able(postings: DataFrame, percent: int) -> DataFrame:
-    """The postings of sets that have as many of them as a pair with the smallest set that they can be similar to needs."""
+    """The keys of sets that have as many postings as a pair with the smallest set that they can be similar to needs."""
     counts = postings.groupBy("key", "n").agg(F.count("*").alias("held"))
-    enough = counts.where(F.col("held") >= least_shared(F.col("n"), percent)).select("key")
-    return postings.join(enough, "key", "left_semi")
+    return counts.where(F.col("held") >= least_shared(F.col("n"), percent)).select("key")
 
 
 def texts_of(keys: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -425,9 +431,13 @@ def similar_pairs(texts: DataFrame, members: DataFrame, sketch: np.ndarray, size
     postings = stored(shared_postings(sets, seen_twice(sets)), "prefixes")
     hub = F.min(F.struct("key", "facts")).alias("hub")
     hubs = postings.groupBy("token").agg(hub, F.max("key").alias("last")).where("hub.key < last").select("token", "hub")
-    facts, theirs = _facts("facts"), [column.alias(f"hub_{name}") for name, column in _facts("hub.facts").items()]
-    common = postings.join(hubs, "token").select("token", "key", *[c.alias(n) for n, c in facts.items()], F.col("hub.key").alias("hub"), *theirs)
-    common = stored(able(stored(common, "met-postings"), percent), "postings")
+    # Facts stay packed, in rows of five numbers, until few rows are left.
+    met = stored(postings.join(hubs, "token").select("token", "key", "facts", F.col("hub.key").alias("hub"), F.col("hub.facts").alias("hub_facts")), "met-postings")
+    discard(sets, postings)
+    facts, theirs = _facts("facts"), [column.alias(f"hub_{name}") for name, column in _facts("hub_facts").items()]
+    kept = met.join(able(met.select("key", facts["n"].alias("n")), percent), "key", "left_semi")
+    common = stored(kept.select("token", "key", *[c.alias(n) for n, c in facts.items()], "hub", *theirs), "postings")
+    discard(met)
     near = texts_of(common.select("key").distinct(), members, texts)
     behind = [F.col(n) - F.min(rank) for n, rank in (("n", "rank"), ("hub_n", "hub_rank"))]
     star = (
@@ -436,7 +446,7 @@ def similar_pairs(texts: DataFrame, members: DataFrame, sketch: np.ndarray, size
         .where(_sizes_fit("n", "hub_n", percent) & (F.col("shared") * 4 >= F.col("least")))
         .where(F.col("behind") * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent)
     )
-    best = F.max(F.struct("shared", (-F.col("hub")).alias("first"), "hub")).alias("best")
+    best = F.max(F.struct("shared", F.bitwise_not("hub").alias("first"), "hub")).alias("best")
     first = stored(star.groupBy("key").agg(best).select(F.col("best.hub").alias("a"), F.col("key").alias("b")), "star-pairs")
     links = stored(verify(first, near, size, percent), "star-links")
     # Two steps along the links are enough: a label need not reach the end of a chain, only never leave it.
@@ -446,10 +456,13 @@ def similar_pairs(texts: DataFrame, members: DataFrame, sketch: np.ndarray, size
     tagged = common.select("token", "key", "n", "l", "rank").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     blocks = F.ceil(F.count("*") / BLOCK).alias("blocks")
     apart = tagged.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), blocks).where("low < high")
-    mixed = stored(able(stored(tagged.join(apart.select("token", "blocks"), "token"), "apart-postings"), percent), "mixed-postings")
-    met = meetings(mixed, percent)
-    found = stored(links.unionByName(verify_meetings(met, near, size, percent)), "similar-pairs")
-    discard(sets, postings, common, near, first, links, labels, mixed, met)
+    split = stored(tagged.join(apart.select("token", "blocks"), "token"), "apart-postings")
+    discard(common, labels)
+    mixed = stored(split.join(able(split, percent), "key", "left_semi"), "mixed-postings")
+    discard(split)
+    places = meetings(mixed, percent)
+    found = stored(links.unionByName(verify_meetings(places, near, size, percent)), "similar-pairs")
+    discard(near, first, links, mixed, places)
     return found
 
 

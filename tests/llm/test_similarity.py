@@ -97,7 +97,7 @@ def test_rows_of_one_id_with_different_texts_lose_no_link(spark):
 
 def test_bitmap_and_sketch_that_are_full_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SKETCH_BITS", 3)
-    monkeypatch.setattr(jaccard, "SEEN_BITS", 6)
+    monkeypatch.setattr(jaccard, "SEEN_BITS", 6)  # eight bytes
     monkeypatch.setattr(jaccard, "CHUNK_BITS", 2)
     draw = random.Random(3)
     base = [[f"b{k}x{i}" for i in range(40)] for k in range(6)]
