@@ -1206,7 +1206,7 @@ def _model_kpis(s: Stages) -> DataFrame:
     )
     SELECT count(*) AS row_count, count_if(NOT risk <=> Predicted_Revenue_at_Risk) AS other_risk,
         count_if(NOT CAST(greatest(least(health, 100), 0) AS INT) <=> Predicted_Inventory_Health) AS other_health,
-        count_if(Predicted_Expiry_Risk IS NULL OR Predicted_Expiry_Risk NOT IN ('High', 'Medium', 'Low')) AS no_risk,
+        count_if(Predicted_Expiry_Risk IS NULL) AS no_risk,
         count_if(Predicted_Revenue IS NULL OR Predicted_Revenue < 0 OR Predicted_Sales_Velocity < 0) AS below_zero,
         count_if(Predicted_Cluster IS NULL OR Predicted_Cluster NOT BETWEEN 0 AND 3) AS no_segment
     FROM again""")
