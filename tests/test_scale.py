@@ -3,10 +3,12 @@
 import datetime as dt
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from shelflight.functions import parse_timestamp
 from shelflight.operators import cleaning as cl
+from shelflight.operators import segments
 from shelflight.session import tune
 
 _ROW = {
@@ -54,3 +56,19 @@ def test_iso_dates_meet_one_pattern_only(spark):
     texts = {"2001-05-03": dt.datetime(2001, 5, 3), "2001-13-03": None, "  12-03-69": dt.datetime(1969, 3, 12), "2001-05-03\n": dt.datetime(2001, 5, 3), "12-03-2001": dt.datetime(2001, 3, 12)}
     found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parsed).collect()
     assert {r["t"]: r["d"] for r in found} == texts
+
+
+def test_a_round_of_k_means_multiplies_no_rows(spark):
+    draw = np.random.default_rng(5)
+    rows = draw.normal(size=(300, 2))
+    points = spark.createDataFrame([*map(tuple, rows.tolist()), (float("nan"), 1.0), (None, 2.0)], "a double, b double")
+    centres = draw.normal(size=(3, 4, 2))
+    found = segments._round(points.repartition(5), centres)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    off = ((rows[:, None, None, :] - centres[None]) ** 2).sum(axis=3)
+    for r in found.collect():
+        mine = rows[off[:, r["start"]].argmin(axis=1) == r["centre"]]
+        assert r["n"] == len(mine)
+        assert np.allclose([r["a"], r["b"]], mine.sum(axis=0))
+        assert np.isclose(r["cost"], ((mine - centres[r["start"], r["centre"]]) ** 2).sum())
+    assert sum(r["n"] for r in found.collect()) == 900
