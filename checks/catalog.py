@@ -61,6 +61,10 @@ class Stages:
         write_parquet(self.cleaned, path)
         return self.spark.read.parquet(path)
 
+    def stored(self, *columns: str) -> DataFrame:
+        """Columns of all cleaned rows, stored once, for operators that read their input more than once."""
+        return written(self.cleaned.select(*columns), "cleaned")
+
     @functools.cached_property
     def valued(self) -> DataFrame:
         """Row features without the Pareto class, for reports that do not show it."""
@@ -655,7 +659,8 @@ register(
 # --- Scoring -------------------------------------------------------------------------------
 
 _SCORED_DATES = _dated("Manufacturing_Date", "Expiry_Date", "Timestamp", "Date_Added", "Last_Restock_Date")
-register("score_prepared", lambda s: sc.score_prep(s.cleaned, AS_OF), f"SELECT {_SCORED_DATES} FROM prepared")
+# The search for the class reads the rows again, so they are stored once.
+register("score_prepared", lambda s: sc.score_prep(s.kept, AS_OF), f"SELECT {_SCORED_DATES} FROM prepared")
 register("scored_by_rules", lambda s: s.scored, f"SELECT {_SCORED_DATES} FROM scored")
 register(
     "score_dashboard_kpis",
@@ -727,9 +732,13 @@ register(
       count(*) AS row_count FROM scored GROUP BY ALL""",
 )
 
+_PREPARED_FROM = (
+    "Batch_No", "Purchase_Price", "Selling_Price", "Current_Stock", "Reorder_Level", "Daily_Sales", "Monthly_Demand",
+    "Expiry_Date", "Timestamp",
+)
 register(
     "score_negative_total",
-    lambda s: sc.score_prep(s.cleaned.withColumn("Purchase_Price", -F.col("Purchase_Price")), AS_OF)
+    lambda s: sc.score_prep(s.stored(*_PREPARED_FROM).withColumn("Purchase_Price", -F.col("Purchase_Price")), AS_OF)
     .select("Batch_No", "Inventory_Value", "ABC_Category"),
     """SELECT "Batch_No", 0e0 - "Inventory_Value" AS "Inventory_Value", 'A' AS "ABC_Category" FROM margins""",
 )
@@ -1090,14 +1099,14 @@ register(
 )
 register(
     "stratified_split_sizes",
-    lambda s: sp.split_sizes(sp.split(s.cleaned, "Batch_No", "Expiry_Risk"), "Expiry_Risk"),
+    lambda s: sp.split_sizes(sp.split(s.stored("Batch_No", "Expiry_Risk"), "Batch_No", "Expiry_Risk"), "Expiry_Risk"),
     """SELECT "Expiry_Risk", is_train, CASE WHEN is_train THEN train ELSE n - train END AS row_count
     FROM (SELECT "Expiry_Risk", count(*) AS n, CAST(floor(count(*) * 0.8) AS BIGINT) AS train FROM cleaned GROUP BY 1)
       CROSS JOIN (VALUES (true), (false)) AS sides(is_train)""",
 )
 register(
     "random_split_sizes",
-    lambda s: sp.split_sizes(sp.split(s.cleaned, "Batch_No")),
+    lambda s: sp.split_sizes(sp.split(s.stored("Batch_No"), "Batch_No")),
     """SELECT is_train, CASE WHEN is_train THEN train ELSE n - train END AS row_count
     FROM (SELECT count(*) AS n, CAST(floor(count(*) * 0.8) AS BIGINT) AS train FROM cleaned)
       CROSS JOIN (VALUES (true), (false)) AS sides(is_train)""",

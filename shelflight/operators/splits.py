@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelflight.session import ensure_checkpoint_dir
+from shelflight.session import written
 
 TRAIN_PERCENT = 80
 SEED = 42
@@ -35,13 +35,13 @@ def split(df: DataFrame, key: str, label: str | None = None, seed: int = SEED) -
     partitioning. No class is ever sorted as a whole: hash buckets find where the
     80 % end, only the rows of that one bucket are ranked, and every row is then
     compared with the cut of its class. The cuts are one row per class. Classes
-    and hashes are checkpointed once for the two passes over them; runs a job.
+    and hashes are written once for the two passes over them; runs a job. `df`
+    is read for that and again for the result, so it should be stored, or cheap.
     """
     group = F.coalesce(F.col(label).cast("string"), F.lit("")) if label else F.lit("")
     hashed = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed))
     rows = df.select(group.alias("g"), hashed.alias("h"))
-    ensure_checkpoint_dir(df.sparkSession)
-    rows = rows.withColumn("b", F.shiftright("h", _BUCKET_SHIFT)).checkpoint()
+    rows = written(rows.withColumn("b", F.shiftright("h", _BUCKET_SHIFT)), "split")
     buckets = rows.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n"))
     wanted = F.greatest(F.floor(F.sum("n").over(Window.partitionBy("g")) * TRAIN_PERCENT / 100), F.lit(1))
     edge = _first_reaching(buckets.withColumn("wanted", wanted), "b")

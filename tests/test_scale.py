@@ -72,3 +72,15 @@ def test_a_round_of_k_means_multiplies_no_rows(spark):
         assert np.allclose([r["a"], r["b"]], mine.sum(axis=0))
         assert np.isclose(r["cost"], ((mine - centres[r["start"], r["centre"]]) ** 2).sum())
     assert sum(r["n"] for r in found.collect()) == 900
+
+
+def test_split_stores_classes_and_hashes_once(spark, monkeypatch):
+    from shelflight.operators import splits
+
+    stored = []
+    keep = splits.written
+    monkeypatch.setattr(splits, "written", lambda df, name: stored.append(df.columns) or keep(df, name))
+    df = spark.range(100).select(F.col("id").cast("string").alias("k"), (F.col("id") % 2).cast("string").alias("y"), F.lit("wide").alias("w"))
+    sizes = {(r["y"], r["is_train"]): r["row_count"] for r in splits.split_sizes(splits.split(df, "k", "y"), "y").collect()}
+    assert stored == [["g", "h", "b"]]
+    assert sizes == {("0", True): 40, ("0", False): 10, ("1", True): 40, ("1", False): 10}
