@@ -15,6 +15,7 @@ from shelflight.llm.shared import ship, text_or_empty
 from shelflight.llm.token_ids import slices
 
 BEGIN = "▁"  # stands before every word, as in the vocabulary
+_NO_END = math.nan  # of no piece
 UNKNOWN_PENALTY = 10.0  # a character that is no piece scores so much below the last piece
 COUNTS = "doc_id bigint, n_words bigint, n_tokens bigint"
 
@@ -43,7 +44,9 @@ class PrefixTrie:
     def __init__(self, scores: dict[str, float], nodes: int = 400_000, longest: int = 64) -> None:
         self.scores, self.limit, self.longest = scores, nodes, longest
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
-        self.width = max(map(len, scores), default=1)
+        # Every end of a piece, with its score if it is a piece: what is no end of any, no longer text ends in a piece.
+        self.ends: dict[str, float | None] = {piece[i:]: None for piece in scores for i in range(1, len(piece))}
+        self.ends |= scores
         self.clear()
 
     def clear(self) -> None:
@@ -59,13 +62,16 @@ class PrefixTrie:
             best = (before[0] + self.scores[last], before[1] - 1)
         else:
             best = (before[0] + self.unknown, before[1] - len(last.encode("utf-8", "surrogatepass")))
-        find = self.scores.get
-        for begin in range(max(0, end - self.width), end - 1):
-            score = find(word[begin:end])
-            if score is not None:
-                way = (path[begin][0] + score, path[begin][1] - 1)
-                if way > best:
-                    best = way
+        find = self.ends.get
+        for begin in range(end - 2, -1, -1):
+            score = find(word[begin:end], _NO_END)
+            if score is None:
+                continue
+            if score is _NO_END:
+                break
+            way = (path[begin][0] + score, path[begin][1] - 1)
+            if way > best:
+                best = way
         return best
 
     def count(self, word: str) -> int:
