@@ -18,8 +18,9 @@ WHITESPACE = (
 
 _CASED = r"\p{IsUppercase}\p{IsLowercase}\p{IsTitlecase}"
 _RUNS = f"([{_CASED}]+|[^{_CASED}]+)"
-# In lower-case text: a letter after a mark or digit, or anything beyond ASCII.
-_NEEDS_RUNS = r"[^a-z ][a-z]|[^\x00-\x7f]"
+# In lower-case text: a letter after a mark or digit. Apart from the next, for as one pattern both take ten times as long.
+_AFTER_MARK = r"[^a-z ][a-z]"
+_ASCII = r"\A[\x00-\x7f]*+\z"
 
 
 def strip_whitespace(text: Column) -> Column:
@@ -46,7 +47,7 @@ def title_case(text: Column) -> Column:
     by_runs = F.concat_ws(
         "", F.transform(runs, lambda run: F.concat(F.upper(F.left(run, F.lit(1))), F.substr(run, F.lit(2))))
     )
-    return F.when(lowered.rlike(_NEEDS_RUNS), by_runs).otherwise(F.initcap(text))
+    return F.when(lowered.rlike(_AFTER_MARK) | ~lowered.rlike(_ASCII), by_runs).otherwise(F.initcap(text))
 
 
 def normalize_identifier(text: Column) -> Column:

@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -22,6 +23,26 @@ def test_title_case_as_in_python(spark):
     ]
 
 
+def test_title_case_finds_the_odd_texts_among_plain_ones(spark):
+    generator = random.Random(7)
+    texts = ["".join(generator.choice("aBz 1#'.-_éØ\t") for _ in range(generator.randrange(6))) for _ in range(2000)]
+    assert _apply(spark, texts, "string", title_case) == [t.title() for t in texts]
+
+
+def test_title_case_of_plain_text_costs_a_few_times_its_lower_case(spark):
+    lines = spark.range(0, 400_000, 1, 8).select(F.concat(F.lit("large blue widget "), F.col("id").cast("string")).alias("v"))
+
+    def seconds(build):
+        taken = []
+        for _ in range(4):
+            start = time.perf_counter()
+            lines.select(*[build(F.concat(F.col("v"), F.lit(f" {i}"))).alias(f"c{i}") for i in range(8)]).write.format("noop").mode("overwrite").save()
+            taken.append(time.perf_counter() - start)
+        return min(taken)
+
+    assert seconds(title_case) < 20 * seconds(F.lower)
+
+
 def test_rounding_as_in_python(spark):
     generator = random.Random(3)
     values = [2.675, 0.125, 1.005, 0.35, 0.25, -2.675, 1e9 + 0.005, 0.0]
