@@ -28,14 +28,13 @@ class DigestIndex:
 
         A digest that is already there keeps its first keeper, whatever the new ids are.
         """
-        fresh = (
-            digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id")).repartition(self.buckets, "digest")
-        )
+        fresh = digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
         known = self.rows()
         if known is not None:
             fresh = fresh.join(known.hint("merge"), "digest", "left_anti")
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))  # each written by one task, whatever the number of partitions
         (
-            fresh.select("digest", "keep_id").write.mode("append").format("parquet")
+            fresh.select("digest", "keep_id").repartition(self.buckets, bucket).write.mode("append").format("parquet")
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
         )
 

@@ -125,6 +125,18 @@ def test_index_persists_and_drops_what_it_knows(spark, odd_docs, odd_rows):
     assert index.rows() is None
 
 
+def test_index_has_a_file_a_bucket_whatever_the_partitions(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(1500)], "doc_id bigint, text string")
+    index, kind = digest_index.DigestIndex(spark, digest_index.new_index(spark).table, buckets=8), type(docs)
+    plain = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *by: plain(self, max(n, 37), *by))
+    index.absorb(digest_index.text_digests(docs))
+    assert index.rows().count() == 1500 and len(index.rows().inputFiles()) == 8
+    index.absorb(digest_index.text_digests(docs.withColumn("text", F.concat("text", F.lit("!")))))
+    assert index.rows().count() == 3000 and len(index.rows().inputFiles()) == 16
+    index.drop()
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(5, k) for k in range(6, 60)] + [(7, 7), (200, 201), (201, 202), (202, 200), (300, 5)]
     got = {r["id"]: r["component"] for r in shared.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
