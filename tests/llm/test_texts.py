@@ -318,3 +318,15 @@ def test_archives_of_odd_and_no_rows(spark):
     with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as whole:
         assert whole.read().count(b"WARC/1.1\r\n") == index.where(F.col("bundle") == bundle).count()
     assert warc.read_archives(warc.write_archives(df.limit(0), warc.archive_folder(spark))).count() == 0
+
+
+def test_packing_gets_texts_in_small_batches(spark):
+    texts = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" ")), 1000).alias("text"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    packing.token_rows(texts, public_tokenizers.path("word_bpe_49k.json"), 2, 8 << 20, 29)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    assert max(r.n for r in texts.mapInArrow(sizes, "n bigint").collect()) <= packing.BATCH_BYTES + (1 << 20)
