@@ -32,7 +32,7 @@ from shelflight.operators.segments import segment_names
 from shelflight.schema import type_names
 from shelflight.session import shared_folder, tune, written
 from checks.inventory_view import AS_OF, inventory_lines
-from shelflight.sources.publish import conform_table, product_view, publish, published_tables, read_published
+from shelflight.sources.publish import conform_table, drop_generations, product_view, publish, published_tables, read_published
 from shelflight.sources.readers import read_csv, read_summary
 from shelflight.sources.writers import write_csv, write_parquet, write_summary
 
@@ -1169,7 +1169,9 @@ def _published_round_trip(s: Stages) -> DataFrame:
 
     Rows, rows that changed, and rows of class A where there is a class. A publication that fails stays unread.
     """
-    tables, out = published_tables(s.engineered, s.guessed, s.advice, LOADED_AT), None
+    # All four start from the cleaned rows as stored, which are cleaned once.
+    guessed = sc.scoring_inputs(s.kept, AS_OF).transform(sc.rule_predictions).transform(sc.score_kpis)
+    tables, out = published_tables(s.engineered, guessed, rc.recommend(guessed), LOADED_AT), None
     tables = {name: written(df, f"published-{name}") for name, df in tables.items()}
     database = f"published_{uuid.uuid4().hex[:12]}"
     s.spark.sql(f"CREATE DATABASE {database}")
@@ -1179,8 +1181,9 @@ def _published_round_trip(s: Stages) -> DataFrame:
             publish({**tables, "revenue": tables["revenue"].select(F.raise_error(F.lit("stopped")).alias("x"))}, sink)
         except PySparkException:
             back = read_published(s.spark, sink)
+        drop_generations(s.spark, sink)  # what the publication that failed has left
         for name in sorted(tables):
-            changed = tables[name].exceptAll(back[name]).count() + back[name].exceptAll(tables[name]).count()
+            changed = qu.changed_rows(tables[name], back[name])
             first = F.count_if(F.col("ABC_Category") == "A") if "ABC_Category" in back[name].columns else F.lit(None).cast("bigint")
             row = back[name].agg(
                 F.lit("folder" if "/" in sink else "database").alias("sink"), F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("table_rows"),
@@ -1188,6 +1191,7 @@ def _published_round_trip(s: Stages) -> DataFrame:
             )
             row = s.spark.createDataFrame(row.collect(), row.schema)  # the database goes
             out = row if out is None else out.unionByName(row)
+        drop_generations(s.spark, sink, keep=0)
     s.spark.sql(f"DROP DATABASE {database} CASCADE")
     return out
 

@@ -78,9 +78,10 @@ def read_published(spark: SparkSession, sink: str) -> dict[str, DataFrame]:
 
 
 def drop_generations(spark: SparkSession, sink: str, keep: int = 1) -> None:
-    """Delete all but the last `keep` generations, and what failed writes left."""
+    """Delete all but the last `keep` generations (with 0 all of them), and what failed writes left."""
     store = _Folder(spark, sink.rstrip("/")) if "/" in sink else _Database(spark, sink)
-    store.drop({generation for _, generation in sorted(store.generations())[-keep:]})
+    found = sorted(store.generations())
+    store.drop({generation for _, generation in found[max(0, len(found) - keep) :]})
 
 
 class _Folder:

@@ -1,5 +1,6 @@
 """What moves between tasks, for tables larger than memory."""
 
+import pathlib
 import datetime as dt
 import re
 
@@ -10,6 +11,9 @@ from shelflight.functions import parse_timestamp
 from shelflight.operators import cleaning as cl
 from shelflight.operators import segments
 from shelflight.session import tune
+from checks import catalog
+from shelflight.operators.quality import changed_rows
+from shelflight.session import shared_folder
 
 _ROW = {
     "Product_ID": "p", "Product_Name": "soap", "Category": "bath", "Brand": None, "Purchase_Price": 1.0, "Selling_Price": 2.0,
@@ -84,3 +88,19 @@ def test_split_stores_classes_and_hashes_once(spark, monkeypatch):
     sizes = {(r["y"], r["is_train"]): r["row_count"] for r in splits.split_sizes(splits.split(df, "k", "y"), "y").collect()}
     assert stored == [["g", "h", "b"]]
     assert sizes == {("0", True): 40, ("0", False): 10, ("1", True): 40, ("1", False): 10}
+
+
+def test_changed_rows_counts_as_multisets_do(spark):
+    before = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "c")], "n int, t string")
+    after = spark.createDataFrame([(1, "a"), (2, None), (2, ""), (4, "c")], "n int, t string")
+    assert changed_rows(before, after) == before.exceptAll(after).count() + after.exceptAll(before).count() == 4
+    assert changed_rows(before, before) == changed_rows(before.limit(0), after.limit(0)) == 0
+
+
+def test_published_round_trip_leaves_no_generation(spark):
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    known = set(folder.glob("shelflight-published-*"))
+    rows = catalog.queries()["published_round_trip"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 8 and all(r["changed_rows"] == 0 and r["table_rows"] > 0 for r in rows)
+    (sink,) = set(folder.glob("shelflight-published-*")) - known
+    assert not [f for f in sink.rglob("*.parquet")]
