@@ -15,6 +15,7 @@ from shelflight.operators.quality import row_digest
 from shelflight.schema import (
     DATE_COLUMNS, FLOAT_COLUMNS, INTEGER_COLUMNS, STAGE_FLOATS, STAGE_INTEGERS, STRING_COLUMNS, type_names,
 )
+from shelflight.session import code_boundary
 
 # What a missing category is filled with.
 CATEGORY_FILLS = {
@@ -152,13 +153,18 @@ def numbers_from_text(df: DataFrame) -> DataFrame:
     )
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    return df if df.isStreaming else code_boundary(df)
+
+
 def clean(df: DataFrame) -> DataFrame:
     """All steps in order, as one lazy plan with one shuffle (the duplicates).
 
     Every other step looks at one row, so copies come out alike. Duplicates are therefore dropped last, by a digest
     of the row as it came: only rows that pass every rule are sent, and of these only the columns that are read.
+    The digest reads every column, so a boundary before it costs no column that could be left out.
     """
-    raw = df.transform(numbers_from_text).transform(nulls_for_nan)
+    raw = df.transform(_apart).transform(numbers_from_text).transform(nulls_for_nan)
     digest = [name.alias(f"_row_{i}") for i, name in enumerate(row_digest(raw))]
     kept = (
         raw.select("*", *digest)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Adaptive execution sizes the shuffle partitions, splits skewed joins and turns
 # a join into a broadcast only when the measured size is below the threshold.
@@ -46,6 +47,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+def code_boundary(df: DataFrame) -> DataFrame:
+    """The same rows; what is done to them next is compiled apart from what made them.
+
+    Spark compiles all steps between two shuffles together and gives that up for all of them if they make one method too
+    long (`SETTINGS`). Each then copies every row. A row count, of which nothing is read, ends the compiled part, so the
+    steps before it stay together. Filters stay above it, and it keeps all columns: for a step that reads them anyway.
+    """
+    return df.observe(f"rows-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("n"))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written once as Parquet, in a new folder below the shared one, and read back.
 

@@ -104,3 +104,18 @@ def test_published_round_trip_leaves_no_generation(spark):
     assert len(rows) == 8 and all(r["changed_rows"] == 0 and r["table_rows"] > 0 for r in rows)
     (sink,) = set(folder.glob("shelflight-published-*")) - known
     assert not [f for f in sink.rglob("*.parquet")]
+
+
+def test_cleaning_is_compiled_apart_from_what_made_the_rows(spark):
+    """Else one method holds both, is too long to be compiled, and every step copies every row."""
+    raw = _raw(spark).repartition(2).select(F.inline(F.array(F.struct("*"))))
+    cleaned = cl.clean(raw)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = cl.clean(raw)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    made, checked = re.search(r"\*\((\d+)\) Generate inline", plan), re.findall(r"\*\((\d+)\) Filter .*Purchase_Price", plan)
+    assert made and checked and made[1] not in checked
+    # Two cleaned tables can still meet in one plan.
+    assert cleaned.unionByName(cl.clean(raw)).count() == 2 * cleaned.count()
