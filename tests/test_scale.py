@@ -119,3 +119,17 @@ def test_cleaning_is_compiled_apart_from_what_made_the_rows(spark):
     assert made and checked and made[1] not in checked
     # Two cleaned tables can still meet in one plan.
     assert cleaned.unionByName(cl.clean(raw)).count() == 2 * cleaned.count()
+
+
+def test_numbers_in_text_are_parsed_once_and_as_before(spark):
+    from shelflight.functions.numeric import to_number
+
+    values = ["12.5", " 7 ", "12.5d", "3F ", "4.f\t", "1e3", "-0", "NaN", "Infinity", "-inf", "0x1p3", "0x1p3d", "d", "", None, "1,5", "5D\n", "١"]
+    want = [12.5, 7.0, None, None, None, 1000.0, -0.0, None, float("inf"), float("-inf"), None, None, None, None, None, None, None, None]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, t string")
+    found = [r.n for r in df.select("i", to_number(F.col("t"), "string").alias("n")).orderBy("i").collect()]
+    as_before = F.when(~F.col("t").rlike(r"[0-9.][dDfF]\s*$"), F.col("t").try_cast("double"))
+    before = [r.n for r in df.select("i", F.when(~F.isnan(as_before), as_before).alias("n")).orderBy("i").collect()]
+    assert found == before and found[:10] == want[:10]
+    plan = df.select(to_number(F.col("t"), "string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"cast\(t#\d+ as double\)", plan)) == 1
