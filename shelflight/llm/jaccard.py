@@ -28,6 +28,7 @@ VERIFY_COST = 50.0  # work to verify a candidate, as a multiple of the work to l
 STEP = 40  # a set of n shingles takes an l of 1 + n // STEP at least: large sets meet others by chance
 LONGEST = 4  # so many values of l from there on
 SLICE = 4 << 20
+NEAREST = 6  # shingles of a prefix, next before a meeting's own, that go to the meeting with the set
 BLOCK = 256  # sets of one token that one side of a meeting holds
 PARTNERS = 512  # partners of a set that one group of the verification holds
 
@@ -278,8 +279,8 @@ def least_shared(n: Column, percent: int) -> Column:
 def due_pairs(rows: dict[str, list], percent: int) -> np.ndarray:
     """Which pairs of sets that have a prefix shingle are to be verified there, as a matrix.
 
-    `rows` hold n, l, rank (of the shingle), label, apart (a block, or its own place), before (shared shingles
-    of the set's prefix before this one, in order) and behind (how many there are from this one on). A pair is due at the
+    `rows` hold n, l, rank (of the shingle), label, apart (a block, or its own place), before (all or some shared shingles
+    of the set's prefix before this one, in order; with some, more pairs are due) and behind (how many there are from this one on). A pair is due at the
     first shingle that both prefixes have, and only if its labels differ, its sizes fit, enough shingles follow for the
     overlap that similar sets need, and enough of the prefixes for the smaller l.
     """
@@ -321,7 +322,9 @@ def meetings(postings: DataFrame, percent: int) -> DataFrame:
 
     `postings` hold token, key, n, l, rank, label and blocks, of tokens with several labels. A token's sets are
     dealt to so many blocks, and blocks meet in pairs. No pair of sets becomes a row. A pair that shares l shingles
-    has the first of them before the last l - 1 of either prefix, so a set only goes to those.
+    has the first of them before the last l - 1 of either prefix, so a set only goes to those. Of the shingles before it only
+    the NEAREST go with it: they exclude most pairs that have met before, and whole lists, which would grow with
+    the square of the prefix, follow for the sets that are left. There `counted` decides.
     """
     lists = postings.groupBy("key", "n", "l", "label").agg(F.array_sort(F.collect_list(F.struct("rank", "token", "blocks"))).alias("held"))
     lists = stored(lists, "prefix-lists")
@@ -329,7 +332,7 @@ def meetings(postings: DataFrame, percent: int) -> DataFrame:
     rows = lists.select("*", F.posexplode("held").alias("at", "here")).where(behind >= least_shared(F.col("n"), percent))
     rows = rows.select(
         "key", "n", "l", "label", F.col("here.*"), behind.alias("behind"),
-        F.transform(F.slice("held", 1, F.col("at")), lambda x: x["token"]).alias("before"),
+        F.transform(F.slice("held", F.greatest(F.col("at") - NEAREST, F.lit(0)) + 1, F.least("at", F.lit(NEAREST))), lambda x: x["token"]).alias("before"),
     )
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks")

@@ -168,3 +168,21 @@ def test_trees_nest_and_halve():
         if level:
             assert (paths[paths[:, level], level - 1] == paths[:, level - 1]).all()  # a node lies in one node above
             assert (paths[paths[:, level - 1], level] == paths[:, level - 1]).all()  # centres stay centres
+
+
+def test_rows_of_a_meeting_do_not_grow_with_the_prefix(spark, monkeypatch):
+    """Sets that share 40 shingles go to their meetings with the nearest of them, and are found at the first."""
+    rows = [(token, key, 100, 1, token, key, 1) for key in (1, 2, 3) for token in range(40)]
+    postings = spark.createDataFrame(rows, "token long, key long, n long, l long, rank long, label long, blocks long")
+    lengths = []
+    first = jaccard.chosen_at
+
+    def watched(table, choose):
+        if "before" in table.columns:
+            lengths.extend(len(r.before) for r in table.select("before").collect())
+        return first(table, choose)
+
+    monkeypatch.setattr(jaccard, "chosen_at", watched)
+    met = jaccard.meetings(postings, 90).collect()
+    assert sorted((r.token, r.key) for r in met) == [(0, 1), (0, 2), (0, 3)]
+    assert max(lengths) <= jaccard.NEAREST
