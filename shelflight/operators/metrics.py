@@ -17,12 +17,15 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     pairs = df.groupBy(F.col(label).alias("actual"), F.col(prediction).alias("guess")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    hit = F.when(F.col("actual") == F.col("guess"), F.col("n")).otherwise(0)
+    # Both structs have the same types as they are: a cast of a whole struct fixes which fields are never null, and a plan
+    # in which the optimizer finds otherwise is refused.
+    none = F.lit(0).cast("bigint")
+    hit = F.when(F.col("actual") == F.col("guess"), F.col("n")).otherwise(none)
     sides = F.array(
-        F.struct(F.col("actual").alias("label"), F.col("n").alias("support"), F.lit(0).alias("guessed"),
+        F.struct(F.col("actual").alias("label"), F.col("n").alias("support"), none.alias("guessed"),
                  hit.alias("hits")),
-        F.struct(F.col("guess").alias("label"), F.lit(0).alias("support"), F.col("n").alias("guessed"),
-                 F.lit(0).alias("hits")),
+        F.struct(F.col("guess").alias("label"), none.alias("support"), F.col("n").alias("guessed"),
+                 none.alias("hits")),
     )
     classes = pairs.select(F.inline(sides)).groupBy("label").agg(
         F.sum("support").alias("support"), F.sum("guessed").alias("guessed"), F.sum("hits").alias("hits")
@@ -34,21 +37,30 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     hits, support, guessed = F.col("hits"), F.col("support"), F.col("guessed")
     classes = classes.select(
         "label", share(hits, guessed).alias("precision"), share(hits, support).alias("recall"),
-        share(hits * 2, support + guessed).alias("f1_score"), "support", "hits",
+        share(hits * 2, support + guessed).alias("f1_score"), "support", "hits", F.lit(False).alias("rest"),
     )
     scores = ("precision", "recall", "f1_score")
-    total = F.sum("support").alias("support")
-    accuracy = classes.agg(
-        F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-        F.lit(None).cast("double").alias("recall"), share(F.sum("hits"), F.sum("support")).alias("f1_score"), total,
+    # A row of nulls, so that a table without rows has the last three rows, too. The classes themselves and all of them
+    # together are groups of one aggregate: `df` is read once.
+    rest = df.sparkSession.range(1).select(F.lit(True).alias("rest"))
+    groups = classes.unionByName(rest, allowMissingColumns=True).groupingSets([["label", "rest"], []], "label", "rest").agg(
+        F.grouping("rest").alias("together"), *[F.avg(s).alias(s) for s in scores],
+        *[share(F.sum(F.col(s) * support), F.sum("support")).alias(f"weighted_{s}") for s in scores],
+        share(F.sum("hits"), F.sum("support")).alias("accuracy"), F.sum("support").alias("support"),
     )
-    macro = classes.agg(F.lit("macro avg").alias("label"), *[F.avg(s).alias(s) for s in scores], total)
-    weighted = classes.agg(
-        F.lit("weighted avg").alias("label"),
-        *[share(F.sum(F.col(s) * support), F.sum("support")).alias(s) for s in scores],
-        total,
+    nothing = F.lit(None).cast("double")
+
+    def row(label: Column, *values: Column) -> Column:
+        return F.struct(label.cast("string").alias("label"), *[v.alias(s) for v, s in zip(values, scores, strict=True)], "support")
+
+    means = [F.col(s) for s in scores]
+    overall = F.array(
+        row(F.lit("accuracy"), nothing, nothing, F.col("accuracy")), row(F.lit("macro avg"), *means),
+        row(F.lit("weighted avg"), *[F.col(f"weighted_{s}") for s in scores]),
+    )
+    report = groups.filter("together = 1 or not rest").select(
+        F.inline(F.when(F.col("together") == 1, overall).otherwise(F.array(row(F.col("label"), *means))))
     )
-    report = classes.drop("hits").unionByName(accuracy).unionByName(macro).unionByName(weighted)
     return report.select("label", *[half_even(F.col(s), 6).alias(s) for s in scores], "support")
 
 
