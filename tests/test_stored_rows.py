@@ -67,3 +67,12 @@ def test_shuffles_of_stored_tables_are_dropped(spark):
             break
         time.sleep(0.1)
     assert not shuffled() - before
+
+
+def test_published_round_trip_leaves_no_stored_table(spark):
+    """Cleaned rows and the four tables stayed, and the shuffles of every comparison."""
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    known = set(folder.iterdir()) if folder.exists() else set()
+    rows = catalog.queries()["published_round_trip"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 8 and all(r["changed_rows"] == 0 for r in rows)
+    assert not [f for new in set(folder.iterdir()) - known for f in new.rglob("*.parquet")]
