@@ -1,5 +1,7 @@
 """Reports on predictions: their rows, and that they read their input once."""
 
+import types
+
 from pyspark.sql import functions as F
 
 from checks import catalog, compare
@@ -30,3 +32,16 @@ def test_classification_report_of_nothing_has_its_last_rows(spark):
     assert {r["label"]: tuple(r)[1:] for r in rows} == {
         "accuracy": (None, None, 0.0, None), "macro avg": (None, None, None, None), "weighted avg": (0.0, 0.0, 0.0, None),
     }
+
+
+def test_four_models_are_fitted_from_one_learning_table(spark, monkeypatch, tmp_path):
+    """Each made its own learning table."""
+    tables = []
+    fitted = types.SimpleNamespace(expiry="e", demand="d", revenue="r", segment="s")
+    monkeypatch.setattr(catalog.tr, "train_models", lambda df: tables.append(df) or fitted)
+    for kind in ("expiry", "demand", "revenue", "segments"):
+        monkeypatch.setattr(catalog.tr, f"train_{kind}", lambda df: tables.append(df))
+    stages = catalog.Stages(spark, str(tmp_path))
+    stages.engineered = spark.range(1)
+    assert vars(stages.models) == vars(stages.models) == vars(fitted)
+    assert len(tables) == 1
