@@ -760,7 +760,7 @@ register(
 def _scored_file(s: Stages) -> DataFrame:
     """The scored table written as CSV and read back, as the next stage gets it."""
     path = s.scratch("scored")
-    write_csv(plain(s.whole.guessed), path)
+    write_csv(plain(s.whole.guessed), path, "gzip")
     return read_csv(s.spark, path)
 
 

@@ -76,3 +76,18 @@ def test_published_round_trip_leaves_no_stored_table(spark):
     rows = catalog.queries()["published_round_trip"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 8 and all(r["changed_rows"] == 0 for r in rows)
     assert not [f for new in set(folder.iterdir()) - known for f in new.rglob("*.parquet")]
+
+
+def test_scored_text_is_written_compressed_and_read_as_it_was(spark, tmp_path):
+    from shelflight.sources.readers import read_csv
+    from shelflight.sources.writers import write_csv
+
+    df = spark.createDataFrame([("a\"b,c", 1.5, None), (" é ", -0.0, "2001-01-02"), ("", 1e22, "x")], "t string, Selling_Price double, d string")
+    for kind in ("none", "gzip"):
+        write_csv(df, f"{tmp_path}/{kind}", kind)
+    assert _as_text(read_csv(spark, f"{tmp_path}/gzip")) == _as_text(read_csv(spark, f"{tmp_path}/none"))
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    known = set(folder.glob("shelflight-scored-*"))
+    catalog.queries()["priority_records_from_file"](spark, "/root/testdata/sf0.001")
+    (file,) = set(folder.glob("shelflight-scored-*")) - known
+    assert {f.suffix for f in file.glob("part-*")} == {".gz"}
